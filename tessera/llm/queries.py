@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import simhash
+from tessera.llm import media, quality_rules, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir), words=3, distance=3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.quality_rules(_documents(spark, sf_dir))
+    return found.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
-ORACLES: dict[str, str] = {}
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store_text(_documents(spark, sf_dir), media.MULAW))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op6_quality_rules": op6_quality_rules, "op9_media": op9_media}
+
+ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE}
