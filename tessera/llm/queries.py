@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import licenses, media, packing, quality_rules, simhash
+from tessera.llm import langid, licenses, media, packing, quality_rules, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir)).drop("detections")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def tokenizer_path() -> str:
     """The byte-level BPE file that contracts name, the same on driver and executors."""
     import public_tokenizers
@@ -41,6 +47,6 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store_text(_documents(spark, sf_dir), media.MULAW))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_license_scan": op3_license_scan, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op9_media": op9_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op9_media": op9_media}
 
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op6_quality_rules": quality_rules.ORACLE}
