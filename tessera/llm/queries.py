@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, licenses, media, packing, quality_rules, simhash
+from tessera.llm import langid, licenses, media, packing, quality_rules, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store_text(_documents(spark, sf_dir), media.MULAW))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op9_media": op9_media}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op6_quality_rules": quality_rules.ORACLE}
