@@ -158,5 +158,8 @@ def per_document(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def text_column(values: list[str | None]) -> pa.Array:
-    return pa.array(values, type=pa.string())
+def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of whole values over spans."""
+    total = np.zeros(len(values) + 1, dtype=np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[ends] - total[starts]

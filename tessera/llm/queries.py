@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, licenses, media, packing, quality_rules, simhash, toxicity
+from tessera.llm import langid, licenses, media, packing, quality_model, quality_rules, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality_model.predict(docs, quality_model.fit(docs))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store_text(_documents(spark, sf_dir), media.MULAW))
 
@@ -53,6 +58,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op8_quality_classifier": op8_quality_classifier, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op6_quality_rules": quality_rules.ORACLE}
