@@ -17,8 +17,8 @@ def corpus(n=300, seed=1):
     for i in range(n):
         words, bad = r.choices(good, k=r.randint(60, 150)), r.random() < 0.25
         if bad:
-            kind = r.randrange(4)
-            words = [w + "***" for w in words] if kind == 0 else [w.upper() + "!!" for w in words] if kind == 1 else [w for w in words[:9] for _ in range(12)] if kind == 2 else words[:9]
+            kind = r.randrange(3)
+            words = [w + "***" for w in words] if kind == 0 else [w.upper() + "!!" for w in words] if kind == 1 else [w for w in words[:9] for _ in range(12)]
         rows.append((i, " ".join(words) + ".", "c", int(not bad)))
     return rows
 
