@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, licenses, media, mixing, packing, quality_model, quality_rules, simhash, toxicity
+from tessera.llm import langid, licenses, media, mixing, packing, quality_model, quality_rules, simhash, suffixes, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir), words=3, distance=3)
 
 
+def op2_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(_documents(spark, sf_dir))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir)).drop("detections")
 
@@ -70,6 +74,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op7_mixing": op7_mixing, "op8_quality_classifier": op8_quality_classifier, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_suffix_arrays": op2_suffix_arrays, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op7_mixing": op7_mixing, "op8_quality_classifier": op8_quality_classifier, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op6_quality_rules": quality_rules.ORACLE}
