@@ -292,3 +292,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda batches: _predict(batches, model), "doc_id long, lang_pred string, score double")
+
+
+def _accept(batches: Iterator[pa.RecordBatch], model: Model, text_col: str, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = pa.RecordBatch.from_arrays([batch.column(text_col)], names=["text"])
+        (found,) = _predict(iter([own]), model)
+        known = np.asarray(found.column("lang_pred").to_numpy(zero_copy_only=False) != UNKNOWN, dtype=bool)
+        yield batch.filter(pa.array(known & (found.column("score").to_numpy() >= least)))
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Rows of `docs`, all columns, whose text has a language with a probability of at least `least`."""
+    return docs.mapInArrow(lambda batches: _accept(batches, model, text_col, least), docs.schema)
