@@ -49,7 +49,7 @@ class Settings:
     model; `least` texts must have a feature; `features` join at most, each
     with a `gain` over the root of its texts; `pull` weighs the counterfactual penalty."""
 
-    rows: int = 2500
+    rows: int = 2000
     stems: tuple[int, ...] = (4, 5)
     least: int = 3
     features: int = 120
@@ -80,8 +80,13 @@ def _word_features(word: str, stems: tuple[int, ...]) -> np.ndarray:
     return features(T.Block(raw, np.array([0, len(raw)]), 0, 1), stems)[0][0]
 
 
-def _draw(batches: Iterator[pa.RecordBatch], stems: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """Distinct features of each text, and of the text with its identity terms swapped (null without any)."""
+def _draw(batches: Iterator[pa.RecordBatch], stems: tuple[int, ...], among: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Distinct features of each text, and of the text with its identity terms swapped (null without any); of those `among`, if given."""
+
+    def distinct(x: np.ndarray) -> np.ndarray:
+        x = np.unique(x[x > 0])
+        return (x if among is None else x[np.isin(x, among, assume_unique=True)]).view(np.int64)
+
     swapped = {h: _word_features(w, stems) for h, w in swaps().items()}
     terms = np.array(sorted(swapped), dtype=U64)
     for batch in batches:
@@ -91,12 +96,12 @@ def _draw(batches: Iterator[pa.RecordBatch], stems: tuple[int, ...]) -> Iterator
             cut = np.searchsorted(doc, np.arange(len(block) + 1))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 mine = by_word[a:b]
-                own.append(np.unique(mine[mine > 0]).view(np.int64))
+                own.append(distinct(mine))
                 hit = np.flatnonzero(np.isin(words[a:b], terms))
                 if len(hit):
                     turned = mine.copy()
                     turned[hit] = [swapped[int(h)] for h in words[a:b][hit]]
-                    other.append(np.unique(turned[turned > 0]).view(np.int64))
+                    other.append(distinct(turned))
                 else:
                     other.append(None)
         kind = pa.list_(pa.int64())
@@ -126,8 +131,7 @@ def train(own: list[np.ndarray], other: list[np.ndarray | None], label: np.ndarr
     if not len(label) or label.min() == label.max():
         bias = 0.0 if not len(label) else 6.0 * (2 * float(label[0]) - 1)
         return Model(np.zeros(0, dtype=U64), none, bias, s)
-    keys, first = np.unique([x.tobytes() for x in own], return_index=True)  # a text and its copies speak once
-    pick = np.sort(first)
+    pick = sorted({x.tobytes(): i for i, x in reversed(list(enumerate(own)))}.values())  # a text and its copies speak once
     own, other, y = [own[i] for i in pick], [other[i] for i in pick], label[pick].astype(float)
     every, count = np.unique(np.concatenate([x for x, t in zip(own, y, strict=True) if t] or [np.zeros(0, dtype=U64)]), return_counts=True)
     columns = every[count >= s.least]
@@ -164,15 +168,21 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     """Learn from labelled rows that aren't held out; see Settings for the bounds.  Labels other than 0 and 1, null
     ids and null texts are left out."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out())
-    smallest = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows) for t in (0, 1)]  # bounded by the setting
-    chosen = F.broadcast(smallest[0].unionByName(smallest[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(chosen, "doc_id")
-    found = texts.mapInArrow(lambda batches: _draw(batches, settings.stems), "doc_id long, toxic int, own array<long>, other array<long>")
-    table = found.orderBy(F.xxhash64("doc_id"), "doc_id", "own").limit(2 * settings.rows).toArrow()
-    to = lambda x: None if x is None else np.asarray(x.values.to_numpy(zero_copy_only=False)).view(U64)
-    own = [to(x) for x in table.column("own")]
-    other = [to(x) if x.is_valid else None for x in table.column("other")]
-    return train(own, other, table.column("toxic").to_numpy(), settings)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+
+    def drawn(label: int, among: np.ndarray | None) -> pa.Table:
+        mine = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows)  # bounded by the setting
+        found = texts.join(F.broadcast(mine.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id")
+        found = found.mapInArrow(lambda batches: _draw(batches, settings.stems, among), "doc_id long, toxic int, own array<long>, other array<long>")
+        return found.orderBy(F.xxhash64("doc_id"), "doc_id", "own").limit(settings.rows).toArrow()
+
+    # whole feature lists of the toxic texts only: of the others what enough toxic ones have
+    to = lambda x: np.asarray(x.values.to_numpy(zero_copy_only=False)).view(U64)
+    toxic = drawn(1, None)
+    every, count = np.unique(np.concatenate([to(x) for x in toxic.column("own")] or [np.zeros(0, dtype=U64)]), return_counts=True)
+    clean = drawn(0, every[count >= settings.least])
+    parts = [(to(own), to(other) if other.is_valid else None, t) for table, t in ((toxic, 1), (clean, 0)) for own, other in zip(table.column("own"), table.column("other"), strict=True)]
+    return train([x for x, _, _ in parts], [x for _, x, _ in parts], np.array([t for _, _, t in parts], dtype=np.int64), settings)
 
 
 def scores(model: Model, block: T.Block) -> np.ndarray:
