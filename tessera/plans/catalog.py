@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from tessera.functions.vectors import fraud_score, quantize, score_body, squared
 from tessera.operators import evaluate, exact, index_build, index_search
 from tessera.plans import views as V
 from tessera.sources import http, index, payloads
+from tessera.sources.shared import new_folder
 from tessera.streaming import scorer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,12 +38,6 @@ def _ints(df: DataFrame) -> DataFrame:
     return df.select(*V.KEYS, *[F.col(d).cast("int").alias(d) for d in _D])
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # SC-7, VEC
 
 
@@ -160,7 +153,7 @@ def lloyd_step(spark, sf_dir):
 
 @query(f"WITH {V.SQL_INDEX} SELECT cluster_id, cnt, CAST((SELECT count(*) FROM asg) AS BIGINT) AS n FROM cnts")
 def index_round_trip(spark, sf_dir):
-    path = _shared(spark, "index")
+    path = new_folder(spark, "index")
     clusters, assigned = V.index(spark, sf_dir)
     index.write_index(path, clusters, assigned, V.DIMS)
     clusters, vectors = index.read_index(spark, path, V.DIMS)
@@ -297,14 +290,14 @@ _SQL_SCORES = (
 @query(_SQL_SCORES)
 def batch_score(spark, sf_dir):
     requests, refs = _tx_requests(spark, sf_dir)
-    path = _shared(spark, "requests")
+    path = new_folder(spark, "requests")
     requests.write.parquet(path)  # payloads as they would come from a source
     return scorer.score(spark.read.parquet(path), refs)
 
 
 @query(_SQL_SCORES)
 def stream_score(spark, sf_dir):
-    path = _shared(spark, "stream")
+    path = new_folder(spark, "stream")
     requests, refs = _tx_requests(spark, sf_dir)
     requests.repartition(3).write.json(f"{path}/in")
     running = scorer.stream(spark, f"{path}/in", refs, f"{path}/out", f"{path}/state", files=1)
