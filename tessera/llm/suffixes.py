@@ -97,6 +97,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Rec
             words, first = _word_hashes(block)
             place, seed, doc = retained(words, first, s)
             low, high = _context_ends(place, doc, first, s)
+            # the words around and where among them the seed is: this alone tells the seed as well
             context = T.mix(T.gram_hashes(T.word_prefix(words), low, high) ^ T.mix((place - low).astype(U64)))
             ids = batch.column(0).take(pa.array(doc + block.lo))
             yield pa.RecordBatch.from_arrays([ids, pa.array((place - first[doc]).astype(np.int32)), pa.array((high - place).astype(np.int32)), pa.array(seed.view(np.int64)), pa.array(context.view(np.int64))], names=["doc_id", "place", "reach", "seed", "context"])
@@ -124,8 +125,8 @@ def _windows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Reco
             offset = start - place[row]
             key = T.mix(T.gram_hashes(T.word_prefix(words), start, start + s.words) ^ T.mix((offset + s.words).astype(U64)))
             at = pa.array(row)
-            columns = [pa.array(key.view(np.int64)), pa.array(offset.astype(np.int32)), *(flat.field(c).take(at) for c in ("seed", "context", "least", "most"))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "offset", "seed", "context", "least", "most"])
+            columns = [pa.array(key.view(np.int64)), pa.array(offset.astype(np.int32)), *(flat.field(c).take(at) for c in ("context", "least", "most"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "offset", "context", "least", "most"])
 
 
 def shared_windows(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,25 +141,26 @@ def shared_windows(docs: DataFrame, settings: Settings = Settings(), id_col: str
     s, tables = settings, Tables(docs.sparkSession, "suffixes")
     found, found_path = tables.write(suffixes(docs, s, id_col, text_col))
     # most seeds stand in one document only, and go first
-    seeds = found.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed")
+    seeds = tables.written(found.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed"))
+    # joined as a table, not as an aggregate: a hot seed's suffixes can then be split
     met, met_path = tables.write(found.join(seeds, "seed"))
     tables.drop(found_path)
     groups = tables.written(met.groupBy("seed", "context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "place")).alias("one")))
-    several = groups.groupBy("seed").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("seed")
+    several = tables.written(groups.groupBy("seed").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("seed"))
     mixed = groups.join(several, "seed", "left_semi")
-    wanted = mixed.groupBy(F.col("one.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("one.place").alias("place"), "seed", "context", "least", "most")).alias("places"))
+    wanted = mixed.groupBy(F.col("one.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("one.place").alias("place"), "context", "least", "most")).alias("places"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    windows = tables.written(texts.join(wanted, "doc_id").select("text", "places").mapInArrow(lambda batches: _windows(batches, s), "key long, offset int, seed long, context long, least long, most long"))
-    keys = windows.groupBy("key").agg(F.min("least").alias("low"), F.max("most").alias("high")).where("low < high")
-    matched = windows.select("key", "offset", "seed", "context").join(keys.select("key", "low"), "key").select("seed", "context", "offset", "low").distinct()
+    windows = tables.written(texts.join(wanted, "doc_id").select("text", "places").mapInArrow(lambda batches: _windows(batches, s), "key long, offset int, context long, least long, most long"))
+    keys = tables.written(windows.groupBy("key").agg(F.min("least").alias("low"), F.max("most").alias("high")).where("low < high"))
+    matched = windows.select("key", "offset", "context").join(keys.select("key", "low"), "key").select("context", "offset", "low").distinct()
     # neighbouring windows of one smallest id become one run
-    rank = F.row_number().over(W.partitionBy("seed", "context", "low").orderBy("offset"))
-    runs = matched.withColumn("run", F.col("offset") - rank).groupBy("seed", "context", "low", "run").agg(F.min("offset").alias("from"), F.max("offset").alias("to"))
+    rank = F.row_number().over(W.partitionBy("context", "low").orderBy("offset"))
+    runs = matched.withColumn("run", F.col("offset") - rank).groupBy("context", "low", "run").agg(F.min("offset").alias("from"), F.max("offset").alias("to"))
     # the windows of a context that is its seed's only one are shared alike
-    alone = groups.where("least < most").join(several, "seed", "left_anti").select("seed", "context", F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to"), F.col("least").alias("low"))
-    matches = tables.written(runs.select("seed", "context", "from", "to", "low").unionByName(alone))
+    alone = groups.where("least < most").join(several, "seed", "left_anti").select("context", F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to"), F.col("least").alias("low"))
+    matches = tables.written(runs.select("context", "from", "to", "low").unionByName(alone))
     left, right = F.greatest(F.col("place") - (s.window - 1), F.lit(0)), F.col("place") + F.col("reach") - s.words
-    spans = met.join(matches, ["seed", "context"]).select("doc_id", F.coalesce(F.col("place") + F.col("from"), left).alias("first"), F.coalesce(F.col("place") + F.col("to"), right).alias("last"), F.col("low").alias("least"))
+    spans = met.join(matches, "context").select("doc_id", F.coalesce(F.col("place") + F.col("from"), left).alias("first"), F.coalesce(F.col("place") + F.col("to"), right).alias("last"), F.col("low").alias("least"))
     out = tables.written(spans.where("first <= last"))
     tables.drop(met_path)
     return out
