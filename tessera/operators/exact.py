@@ -77,7 +77,7 @@ def nearest(refs: DataFrame, queries: DataFrame, dims: int, k: int = K, skip_sel
         else:
             pairs = refs.crossJoin(F.broadcast(part))
             pairs = pairs.where("qid <> ref_id") if skip_self else pairs
-            mine = pairs.select("qid", squared_l2(F.col("qv"), F.col("v"), dims).alias("dist"), "ref_id", "label")
+            mine = pairs.select("qid", squared_l2("qv", "v", dims).alias("dist"), "ref_id", "label")
         found = mine if found is None else found.unionByName(mine)
     return _ranked(found, k)
 

@@ -52,13 +52,14 @@ def assign(refs: DataFrame, centroids: DataFrame) -> DataFrame:
     return refs.mapInArrow(lambda batches: _nearest(batches, ids, matrix), f"{schema}, cluster_id int, dist double")
 
 
-def means(assigned: DataFrame, dims: int) -> list[Column]:
-    return [F.avg(F.get("v", F.lit(i)).cast("double")) for i in range(dims)]
+def _each(how: str, dims: int) -> Column:
+    """An aggregate of every dimension of `v`, as one array."""
+    return F.expr("array(" + ", ".join(how.format(f"get(v, {i})") for i in range(dims)) + ")")
 
 
 def lloyd_step(refs: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
     """IVF-3, IVF-4: (cluster_id, centroid array<double>) after one round; a cluster without members keeps its centroid."""
-    moved = assign(refs, centroids).groupBy("cluster_id").agg(F.array(*means(refs, dims)).alias("mean"))
+    moved = assign(refs, centroids).groupBy("cluster_id").agg(_each("avg(cast({} as double))", dims).alias("mean"))
     old = centroids.select("cluster_id", F.transform("centroid", lambda x: x.cast("double")).alias("old"))
     return old.join(moved, "cluster_id", "left").select("cluster_id", F.coalesce("mean", "old").alias("centroid"))
 
@@ -113,8 +114,7 @@ def block_offsets(counted: DataFrame, lanes: int = LANES) -> DataFrame:
 
 def boxes(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
     """IVF-12: (cluster_id, bbox_min, bbox_max); an empty cluster's box is 0."""
-    column = lambda f: F.array(*[f(F.get("v", F.lit(i))) for i in range(dims)])
-    found = assigned.groupBy("cluster_id").agg(column(F.min).alias("lo"), column(F.max).alias("hi"))
+    found = assigned.groupBy("cluster_id").agg(_each("min({})", dims).alias("lo"), _each("max({})", dims).alias("hi"))
     zero = F.array_repeat(F.lit(0).cast("smallint"), dims)
     return centroids.select("cluster_id").join(found, "cluster_id", "left").select("cluster_id", F.coalesce("lo", zero).alias("bbox_min"), F.coalesce("hi", zero).alias("bbox_max"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import box_bound, squared_l2
 from tessera.operators.exact import K, vote
+from tessera.sources.shared import new_folder
 
 PROBES, MOST_PROBES, REPAIR_MIN, REPAIR_MAX = 12, 64, 1, 4
 #: A distance that none reaches: the threshold that is off.
@@ -31,7 +32,7 @@ def probe(queries: DataFrame, clusters: DataFrame, dims: int, probes: int = PROB
     Centroids are a bounded table."""
     n = max(1, min(probes, MOST_PROBES))
     pairs = queries.select("qid", F.col("v").alias("qv")).crossJoin(F.broadcast(clusters.select("cluster_id", "centroid")))
-    near = pairs.select("qid", "qv", "cluster_id", squared_l2(F.col("qv"), F.col("centroid"), dims).alias("d"))
+    near = pairs.select("qid", "qv", "cluster_id", squared_l2("qv", "centroid", dims).alias("d"))
     rank = F.row_number().over(W.partitionBy("qid").orderBy("d", "cluster_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= n).select("qid", "qv", "cluster_id", "rank", "d")
 
@@ -45,13 +46,13 @@ def scan(probed: DataFrame, vectors: DataFrame, dims: int, k: int = K, skip_self
     """KNN-3, KNN-4: (qid, ref_id, dist, label, rank) of the k nearest in the probed clusters."""
     pairs = probed.select("qid", "qv", "cluster_id").join(vectors.select("cluster_id", "ref_id", "v", "label"), "cluster_id")
     pairs = pairs.where("qid <> ref_id") if skip_self else pairs
-    return _top(pairs.select("qid", "ref_id", squared_l2(F.col("qv"), F.col("v"), dims).alias("dist"), F.col("label").cast("int").alias("label")), k)
+    return _top(pairs.select("qid", "ref_id", squared_l2("qv", "v", dims).alias("dist"), F.col("label").cast("int").alias("label")), k)
 
 
 def bounds(queries: DataFrame, clusters: DataFrame, dims: int) -> DataFrame:
     """VEC-3: (qid, cluster_id, bound) of every query and filled cluster."""
     filled = clusters.where("cnt > 0").select("cluster_id", "bbox_min", "bbox_max")
-    return queries.select("qid", F.col("v").alias("qv")).crossJoin(F.broadcast(filled)).select("qid", "qv", "cluster_id", box_bound(F.col("qv"), F.col("bbox_min"), F.col("bbox_max"), dims).alias("bound"))
+    return queries.select("qid", F.col("v").alias("qv")).crossJoin(F.broadcast(filled)).select("qid", "qv", "cluster_id", box_bound("qv", "bbox_min", "bbox_max", dims).alias("bound"))
 
 
 def needs_repair(voted: DataFrame, low: int = REPAIR_MIN, high: int = REPAIR_MAX, thresholds: list[int] | None = None) -> DataFrame:
@@ -73,9 +74,13 @@ def search(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dims: in
     """(qid, fraud_count, found, worst).  Without `repair` this is the fast pass (KNN-9); with low 0 and high k it is exact."""
     probed = probe(queries, clusters, dims, probes)
     first = scan(probed, vectors, dims, k, skip_self)
-    voted = vote(first, queries, k)
     if not repair:
-        return voted
+        return vote(first, queries, k)
+    # the fast pass stands in three places below: its k rows for each query are written once
+    path = new_folder(queries.sparkSession, "search")
+    first.write.parquet(path)
+    first = queries.sparkSession.read.parquet(path)
+    voted = vote(first, queries, k)
     need = needs_repair(voted, low, high, thresholds)
     more = scan(repair_candidates(queries, need, probed, clusters, dims), vectors, dims, k, skip_self)
     both = first.drop("rank").unionByName(more.drop("rank"))

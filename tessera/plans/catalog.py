@@ -50,7 +50,7 @@ def quantize_embeddings(spark, sf_dir):
 @query(f"WITH {V.SQL_REFS} SELECT a.qid, b.ref_id, {V.sql_l2('a.v', 'b.v')} AS dist FROM qs AS a, refs AS b")
 def l2_distance_pairs(spark, sf_dir):
     q = V.query_set(spark, sf_dir).withColumnRenamed("v", "qv")
-    return V.refs(spark, sf_dir).crossJoin(F.broadcast(q)).select("qid", "ref_id", squared_l2(F.col("qv"), F.col("v"), V.DIMS).alias("dist"))
+    return V.refs(spark, sf_dir).crossJoin(F.broadcast(q)).select("qid", "ref_id", squared_l2("qv", "v", V.DIMS).alias("dist"))
 
 
 # SRC-3, FEAT, SC-1..10

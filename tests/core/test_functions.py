@@ -73,8 +73,7 @@ def test_bound_is_under_distance(spark):
     for i in range(100):
         sides = [box() for _ in range(3)]
         rows.append((i, [r.randint(-9, 9) for _ in range(3)], [a for a, _ in sides], [b for _, b in sides], [r.randint(a, b) for a, b in sides]))
-    c = F.col
-    got = spark.createDataFrame(rows, "i int, v array<smallint>, lo array<smallint>, hi array<smallint>, x array<smallint>").select("i", V.box_bound(c("v"), c("lo"), c("hi"), 3).alias("b"), V.squared_l2(c("v"), c("x"), 3).alias("d"), V.squared_l2(c("v"), c("v"), 3).alias("z")).collect()
+    got = spark.createDataFrame(rows, "i int, v array<smallint>, lo array<smallint>, hi array<smallint>, x array<smallint>").select("i", V.box_bound("v", "lo", "hi", 3).alias("b"), V.squared_l2("v", "x", 3).alias("d"), V.squared_l2("v", "v", 3).alias("z")).collect()
     assert all(0 <= g.b <= g.d and g.z == 0 for g in got)
     for g, (_, v, lo, hi, x) in zip(sorted(got), rows, strict=True):
         assert g.d == sum((a - b) ** 2 for a, b in zip(v, x)) and g.b == sum(max(0, a - p, p - b) ** 2 for p, a, b in zip(v, lo, hi))
