@@ -13,6 +13,7 @@ places and suppression are array expressions over one row.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -150,6 +151,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_RULES = "array<struct<rule:int,label:string,regex:string,priority:int,base:boolean,weight:double>>"
 _FOUND = "array<struct<first:int,minus_last:int,priority:int,rule:int,label:string,base:boolean,weight:double>>"
 
 
@@ -159,12 +161,11 @@ def _spaces(x: Column) -> Column:
 
 def _book(rules: tuple[Rule, ...], licensed: bool) -> Column:
     """Rules by keyword, a constant."""
-    by_key: dict[str, list[Column]] = {}
+    by_key: dict[str, list[dict]] = {}
     for i, r in enumerate(rules):
         if r.licensed == licensed:
-            fields = (("rule", i), ("label", r.label), ("regex", r.regex), ("priority", r.priority), ("base", r.base), ("weight", _WEIGHTS[r.priority]))
-            by_key.setdefault(r.keyword, []).append(F.struct(*[F.lit(v).alias(k) for k, v in fields]))
-    return F.create_map(*[x for k, found in sorted(by_key.items()) for x in (F.lit(k), F.array(*found))])
+            by_key.setdefault(r.keyword, []).append({"rule": i, "label": r.label, "regex": r.regex, "priority": r.priority, "base": r.base, "weight": _WEIGHTS[r.priority]})
+    return F.from_json(F.lit(json.dumps(by_key)), f"map<string,{_RULES}>")
 
 
 def prepared(docs: DataFrame, keywords: list[str], id_col: str, text_col: str) -> DataFrame:
@@ -233,9 +234,6 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     )
 
 
-_RULES = "array<struct<rule:int,label:string,regex:string,priority:int,base:boolean,weight:double>>"
-
-
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
     """DuckDB: what scan() returns without `detections`."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
