@@ -7,26 +7,10 @@ what is read back is the same however often it is read.
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, a new local one."""
-    folder = spark.conf.get(_OWN, None) or spark.sparkContext.getConf().get(_OWN)
-    if not folder:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = found.get() if found.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_OWN} to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from tessera.sources.shared import new_folder
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -48,7 +32,7 @@ class Tables:
     """Names written tables of one operator run; `drop` removes those no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.top = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.top = spark, new_folder(spark, name)
         self.count = 0
         atexit.register(_at_exit, spark, self.top)
 
