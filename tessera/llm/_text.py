@@ -16,7 +16,7 @@ import pyarrow as pa
 U64 = np.uint64
 
 #: Bytes of text worked on at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 # Odd multipliers of the span hashes, and the finaliser's constants (splitmix64).
 BYTE_BASE = 0x9E3779B97F4A7C15

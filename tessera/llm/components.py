@@ -42,20 +42,29 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[root[far]]
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One partition's edges, two long columns without nulls, as a spanning forest."""
     a = b = np.zeros(0, dtype=np.int64)
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        a, b = forest(np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()]))
+        held.append(batch)
+        if sum(x.num_rows for x in held) > max(len(a), 100_000):
+            a, b, held = *_joined(a, b, held), []
+    a, b = _joined(a, b, held)
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def components(edges: DataFrame, tables: Tables) -> DataFrame:
+def _joined(a: np.ndarray, b: np.ndarray, more: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    return forest(np.concatenate([a, *(x.column(0).to_numpy() for x in more)]), np.concatenate([b, *(x.column(1).to_numpy() for x in more)]))
+
+
+def components(edges: DataFrame, tables: Tables, shrunk: bool = False) -> DataFrame:
     """(node, root) for every node of `edges` (two long columns) that isn't the smallest of its
     component, root being that smallest node.  Rows with a null end are no edges.  An empty
-    edge table gives an empty result."""
+    edge table gives an empty result.  `shrunk`: partitions are local_forest()s as they come."""
     a, b = edges.columns
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    now, path = tables.write(pairs.mapInArrow(_local, "a long, b long").distinct())
+    now, path = tables.write((pairs if shrunk else pairs.mapInArrow(local_forest, "a long, b long")).distinct())
     for _ in range(MOST_ROUNDS):
         # a star forest: every node stands once on the left and never on the right
         seen = now.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
@@ -63,11 +72,14 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
         if seen.where("n > 1").isEmpty() and deep.isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # minima as tables, not as aggregates under the joins: a hub's edges can then be split
+        least, least_path = tables.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large, large_path = tables.write(large)
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after, old = tables.write(small.select("e.a", "e.b").where("a <> b").distinct()), path
         now, path = after
-        tables.drop(old)
+        for done in (old, least_path, large_path):
+            tables.drop(done)
     raise RuntimeError(f"components didn't settle in {MOST_ROUNDS} rounds")

@@ -29,9 +29,9 @@ from tessera.llm._tables import Tables
 #: Salts that split the documents of one length for ranking.
 SALTS = 1024
 #: Tokenised chunks that a worker remembers, and their ids; beyond either it starts anew.
-MOST_CHUNKS, MOST_IDS = 600_000, 6_000_000
+MOST_CHUNKS, MOST_IDS = 300_000, 3_000_000
 #: Bytes of text encoded at once; the more, the fewer chunks are looked up again.
-TOKEN_BLOCK_BYTES = 4 << 20
+TOKEN_BLOCK_BYTES = 2 << 20
 
 
 class CapacityTree:

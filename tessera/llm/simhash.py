@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _text as T
 from tessera.llm._tables import Tables
-from tessera.llm.components import components
+from tessera.llm.components import components, local_forest
 
 U64 = np.uint64
 BITS = 64
@@ -125,7 +125,7 @@ def linked(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links inside each run of equal keys; rows come sorted by key."""
+    """A spanning forest of the links inside runs of equal keys; rows come sorted by key."""
 
     def of(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -142,7 +142,7 @@ def _links(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1).view(np.int64), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
         for batch in batches:
             key = np.concatenate([key, batch.column(0).to_numpy()])
@@ -154,7 +154,7 @@ def _links(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         if len(key):
             yield of(key, fp)
 
-    return run
+    return lambda batches: local_forest(runs(batches))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +178,7 @@ def grouped(marked: DataFrame, distance: int, tables: Tables) -> DataFrame:
     kinds = tables.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     index = kinds.select("fp").mapInArrow(_variants(distance), "key long, fp long")
     links = index.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance), "a long, b long")
-    roots = tables.written(components(links, tables))
+    roots = tables.written(components(links, tables, shrunk=True))
     placed = kinds.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = tables.written(placed.join(ids, "root").select("fp", "component_id"))
