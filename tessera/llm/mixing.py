@@ -122,8 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str | Column, settings: Sett
         return Model(tuple(names), np.zeros((1 << settings.bits, len(names)), dtype=np.float32), np.zeros(len(names)), settings)
     row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     w, b = train(row, np.concatenate(ids), np.concatenate(shares), label, len(names), settings)
-    # the sample has as many of a rare domain as of others: back to how often they are labelled
-    b += np.log([there[d] for d in names]) - np.log(np.bincount(label, minlength=len(names)) + 1e-9)
+    # the sample has as many of a rare domain as of others: back to how often they are labelled, where any text was drawn
+    drawn_of = np.bincount(label, minlength=len(names))
+    b += np.where(drawn_of > 0, np.log([there[d] for d in names]) - np.log(np.maximum(drawn_of, 1)), 0.0)
     return Model(tuple(names), w.astype(np.float32), b, settings)
 
 
@@ -184,24 +185,27 @@ def projected_gradient(sums: Callable[[list[list[float]]], np.ndarray], size: np
     return steps, now
 
 
-def target_tokens(size: np.ndarray, weights: np.ndarray, total: float | None) -> np.ndarray:
+def target_tokens(size: np.ndarray, weights: np.ndarray, total: float | None, whole: int | None = None) -> np.ndarray:
     """Tokens to aim at: `weights` of `total`, by default of the most that needs no domain more often than it is there.
-    Domains without tokens have no target, and the others share."""
+    Domains without tokens have no target, and the others share.  With `whole`, a domain with tokens and a weight, the
+    total is what makes all of that domain its share, and of a domain that has less than its share all is the target."""
     weights = np.where(size > 0, weights, 0.0)
     if not weights.sum():
         return np.zeros(len(size))
     weights = weights / weights.sum()
+    if total is None and whole is not None and weights[whole] > 0:
+        return np.minimum(weights * (size[whole] / weights[whole]), size)
     if total is None:
         total = float(np.min(size[weights > 0] / weights[weights > 0]))
     return weights * total
 
 
-def mix(docs: DataFrame, model: Model, weights: dict[str, float], total: float | None = None, spare: float = 1.0, most: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, model: Model, weights: dict[str, float], total: float | None = None, spare: float = 1.0, most: float | None = None, whole: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id long, n_tokens long, domain string (the likeliest), p_<domain> double, rate double.
 
     rate >= 0 (and <= `most`, if given) is how often the document should be drawn.  weights are the domains' shares
     of tokens to aim at, scaled to 1; domains that aren't named get none.  Targets are `spare` times those of
-    target_tokens().  Null and empty texts have no tokens and
+    target_tokens(), in which `whole` names the domain to keep whole.  Null and empty texts have no tokens and
     the rate of a document like the average.  Null ids and repeated rows each get their row; only id and
     text are read.  An empty table gives an empty result.
     """
@@ -214,16 +218,16 @@ def mix(docs: DataFrame, model: Model, weights: dict[str, float], total: float |
         return np.array([x or 0.0 for x in rated.agg(*[F.sum(F.col("t") * F.col(f"p{i}")) for i in range(d)]).first()])
 
     size = sums([])
-    target = spare * target_tokens(size, np.array([weights.get(name, 0.0) for name in model.domains]), total)
+    target = spare * target_tokens(size, np.array([weights.get(name, 0.0) for name in model.domains]), total, model.domains.index(whole) if whole in model.domains else None)
     steps, _ = projected_gradient(sums, size, target, model.settings.rounds, model.settings.tolerance) if size.sum() else ([], size)
     likeliest = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position(F.array(*[f"p{i}" for i in range(d)]), F.greatest(*[f"p{i}" for i in range(d)]) if d > 1 else F.col("p0")).cast("int"))
     return marked.select("doc_id", "n_tokens", likeliest.alias("domain"), *[F.col(f"p{i}").alias(f"p_{name}") for i, name in enumerate(model.domains)], _rate(steps, most).alias("rate"))
 
 
-def drawn(docs: DataFrame, model: Model, weights: dict[str, float], total: float | None = None, spare: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drawn(docs: DataFrame, model: Model, weights: dict[str, float], total: float | None = None, spare: float = 1.0, whole: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `docs`, all columns, each with the chance of its rate and at most once: a hash of the id decides, so
     rows of one id go or stay together.  A rate of 1 or more always stays, as do rows with a null id."""
-    rates = mix(docs, model, weights, total, spare, None, id_col, text_col).groupBy("doc_id").agg(F.max("rate").alias("rate"))
+    rates = mix(docs, model, weights, total, spare, None, whole, id_col, text_col).groupBy("doc_id").agg(F.max("rate").alias("rate"))
     luck = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mixing")), 11) / float(1 << 53)
     gone = rates.where("doc_id is not null").where(luck >= F.col("rate")).select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -107,3 +107,27 @@ def test_posteriors_do_not_depend_on_blocks():
     whole = [M.document_posteriors(model, b)[0] for b in T.blocks(texts)]
     parts = [M.document_posteriors(model, b)[0] for b in T.blocks(texts, 4)]
     assert np.concatenate(whole) == pytest.approx(np.concatenate(parts))
+
+
+def test_targets_with_a_whole_domain():
+    for size in ([900.0, 60.0, 40.0], [989.0, 10.0, 1.0], [990.0, 10.0, 0.0], [1000.0, 0.0, 0.0], [750.0, 130.0, 120.0]):
+        size = np.array(size)
+        got = M.target_tokens(size, np.array([0.86, 0.08, 0.06]), None, 0)
+        assert got == pytest.approx(np.minimum(size, size[0] / 0.86 * np.array([0.86, 0.08, 0.06])))
+        assert got[0] == size[0]
+
+
+@pytest.mark.parametrize("toxic", [1, 0])
+def test_a_scarce_domain_thins_no_other(spark, tmp_path, toxic):
+    import corpus_pipeline as P
+
+    r = random.Random(6)
+    words = {"clean": [f"c{i}" for i in range(80)], "low": [f"l{i}" for i in range(80)], "toxic": [f"t{i}" for i in range(80)]}
+    of = ["toxic"] * (4 * toxic) + ["low"] * 80 + ["clean"] * (320 - 4 * toxic)  # 1 % or 0 % toxic, 20 % low
+    rows = [(i, " ".join(r.choices(words[k], k=60)), "c", 1) for i, k in enumerate(of)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = [(i, int(k != "low"), int(k == "toxic")) for i, k in enumerate(of)] + [(1000, 1, 1)]  # one whose text is gone
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {x.doc_id for x in P.mixed(spark, docs, str(tmp_path)).collect()}
+    left = {k: sum(of[i] == k for i in kept) for k in words}
+    assert left["clean"] == of.count("clean") and left["toxic"] == of.count("toxic") and 0 < left["low"] < 60, left
