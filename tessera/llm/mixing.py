@@ -6,10 +6,13 @@ sum(r * tokens * probability), meet targets: projected gradient on the squared m
 measured against the domain's size.  A step adds the same combination of its probabilities to
 every document's rate, so a rate is a function of a document's probabilities and of the few numbers that
 the steps so far have sent out.  Nothing is kept by document, and each step is one aggregate.
+Where the gradient is too slow, as with soft probabilities, Newton's method finds the one step
+that leads from rates of 1 to the nearest rates that meet the targets.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,13 +26,14 @@ from tessera.llm import _text as T
 from tessera.llm._tables import Tables
 
 U64 = np.uint64
+LOG = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class Settings:
     """`rows`: at most so many labelled texts of each domain, those with the smallest hashes of their ids, train the
     classifier; `bits` of a word feature's hash; `rounds` of projected gradient at most, until every
-    domain's tokens are within `tolerance` of its target."""
+    domain's tokens are within `tolerance` of its target; where they aren't then, Newton's method follows."""
 
     rows: int = 2000
     bits: int = 16
@@ -185,6 +189,46 @@ def projected_gradient(sums: Callable[[list[list[float]]], np.ndarray], size: np
     return steps, now
 
 
+#: Weight of keeping rates near 1 against missing targets: so small that it only decides where targets leave rates open.
+NEAR = 1e-9
+
+
+def met(now: np.ndarray, target: np.ndarray, tolerance: float) -> bool:
+    return bool(np.all(np.abs(now - target) <= tolerance * np.maximum(target, 1.0)))
+
+
+def nearest_step(moments: Callable[[list[float]], tuple[float, np.ndarray, np.ndarray]], size: np.ndarray, target: np.ndarray, start: np.ndarray, tolerance: float, rounds: int = 200) -> tuple[list[float], np.ndarray, bool]:
+    """The step that takes rates of 1 to the nearest rates that meet `target`, or come as near to it as rates can: the
+    step, the expected tokens after it, and whether the conditions of that optimum hold.
+
+    Minimal are sum((tokens - target)^2 / size) + NEAR * sum(document's tokens * (rate - 1)^2).  In the step x, one number a domain, its
+    dual is convex and has the gradient target - tokens(x) + NEAR * size * x.  moments(x) gives sum(n * integral of the rate), sum(n * rate * p)
+    and sum(n * p p') over documents whose rate isn't at a bound, n being tokens and p probabilities.
+    """
+    there = size > 0
+    scale = np.sqrt(np.where(there, size, 1.0))
+
+    def value(x: np.ndarray, area: float) -> float:
+        return area + float(target @ x + NEAR / 2 * (size * x) @ x)
+
+    x = np.where(there, start, 0.0)
+    area, now, hessian = moments(x.tolist())
+    for _ in range(rounds):
+        slope = np.where(there, target - now + NEAR * size * x, 0.0)
+        if met(now, target, tolerance) or np.all(np.abs(slope) <= tolerance / 10 * np.maximum(np.minimum(target, size), 1e-6 * size.sum())):
+            return x.tolist(), now, True
+        curve = hessian / np.outer(scale, scale) + NEAR * np.eye(len(x))
+        move = -np.linalg.solve(curve, slope / scale) / scale
+        length, cost = 1.0, value(x, area)
+        while True:
+            after = moments((x + length * move).tolist())
+            if value(x + length * move, after[0]) <= cost + 1e-4 * length * float(slope @ move) + 1e-12 * abs(cost) or length < 1e-9:
+                break
+            length /= 2
+        x, (area, now, hessian) = x + length * move, after
+    return x.tolist(), now, False
+
+
 def target_tokens(size: np.ndarray, weights: np.ndarray, total: float | None, whole: int | None = None) -> np.ndarray:
     """Tokens to aim at: `weights` of `total`, by default of the most that needs no domain more often than it is there.
     Domains without tokens have no target, and the others share.  With `whole`, a domain with tokens and a weight, the
@@ -205,7 +249,7 @@ def mix(docs: DataFrame, model: Model, weights: dict[str, float], total: float |
 
     rate >= 0 (and <= `most`, if given) is how often the document should be drawn.  weights are the domains' shares
     of tokens to aim at, scaled to 1; domains that aren't named get none.  Targets are `spare` times those of
-    target_tokens(), in which `whole` names the domain to keep whole.  Null and empty texts have no tokens and
+    target_tokens(), in which `whole` names the domain to keep whole; domains with less than their share aren't held to any then.  Null and empty texts have no tokens and
     the rate of a document like the average.  Null ids and repeated rows each get their row; only id and
     text are read.  An empty table gives an empty result.
     """
@@ -217,9 +261,38 @@ def mix(docs: DataFrame, model: Model, weights: dict[str, float], total: float |
         rated = marked.select(*[f"p{i}" for i in range(d)], (_rate(steps, most) * F.col("n_tokens")).alias("t"))
         return np.array([x or 0.0 for x in rated.agg(*[F.sum(F.col("t") * F.col(f"p{i}")) for i in range(d)]).first()])
 
+    def moments(step: list[float]) -> tuple[float, np.ndarray, np.ndarray]:
+        moved = F.lit(1.0) - sum((F.lit(s) * F.col(f"p{i}") for i, s in enumerate(step)), F.lit(0.0))
+        rate, n = _rate([step], most), F.col("n_tokens")
+        area = n * (rate * rate / 2 + rate * (moved - rate if most is not None else F.lit(0.0)) * (moved > rate).cast("int"))
+        free = n * ((moved > 0) & (moved < (float(most) if most is not None else float("inf")))).cast("int")
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        rated = marked.select(area.alias("area"), *[(n * rate * F.col(f"p{i}")).alias(f"s{i}") for i in range(d)], *[(free * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i, j in pairs])
+        found = np.array([x or 0.0 for x in rated.agg(*map(F.sum, rated.columns)).first()])
+        hessian = np.zeros((d, d))
+        for (i, j), x in zip(pairs, found[1 + d :], strict=True):
+            hessian[i, j] = hessian[j, i] = x
+        return float(found[0]), found[1 : 1 + d], hessian
+
+    def bound(now: np.ndarray) -> np.ndarray:
+        return np.where(scarce, target, now)  # no miss, so no step
+
+    def bound_moments(step: list[float]) -> tuple[float, np.ndarray, np.ndarray]:
+        area, now, hessian = moments(step)
+        return area, bound(now), hessian * np.outer(~scarce, ~scarce)
+
     size = sums([])
-    target = spare * target_tokens(size, np.array([weights.get(name, 0.0) for name in model.domains]), total, model.domains.index(whole) if whole in model.domains else None)
-    steps, _ = projected_gradient(sums, size, target, model.settings.rounds, model.settings.tolerance) if size.sum() else ([], size)
+    at = model.domains.index(whole) if whole in model.domains else None
+    least = target_tokens(size, np.array([weights.get(name, 0.0) for name in model.domains]), total, at)
+    scarce = (least >= size) & (np.arange(d) != at) if at is not None and total is None else np.zeros(d, dtype=bool)
+    target, tolerance = np.where(scarce, size, spare * least), model.settings.tolerance
+    steps, now = projected_gradient(lambda s: bound(sums(s)), size, target, model.settings.rounds, tolerance) if size.sum() else ([], size)
+    if size.sum() and not met(now, target, tolerance):
+        step, now, best = nearest_step(bound_moments, size, target, np.sum(steps, axis=0) if steps else np.zeros(d), tolerance)
+        steps = [step]
+        if not met(now, target, tolerance):
+            LOG.warning("targets are missed: %s", "rates come no nearer" if best else "rates didn't settle")
+    LOG.info("expected tokens and targets: %s", {name: (float(a), float(b)) for name, a, b in zip(model.domains, now, target, strict=True)})
     likeliest = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position(F.array(*[f"p{i}" for i in range(d)]), F.greatest(*[f"p{i}" for i in range(d)]) if d > 1 else F.col("p0")).cast("int"))
     return marked.select("doc_id", "n_tokens", likeliest.alias("domain"), *[F.col(f"p{i}").alias(f"p_{name}") for i, name in enumerate(model.domains)], _rate(steps, most).alias("rate"))
 

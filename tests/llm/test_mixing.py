@@ -131,3 +131,33 @@ def test_a_scarce_domain_thins_no_other(spark, tmp_path, toxic):
     kept = {x.doc_id for x in P.mixed(spark, docs, str(tmp_path)).collect()}
     left = {k: sum(of[i] == k for i in kept) for k in words}
     assert left["clean"] == of.count("clean") and left["toxic"] == of.count("toxic") and 0 < left["low"] < 60, left
+
+
+@pytest.mark.parametrize("sharp", [2.5, 1.5, 1.0])
+def test_soft_domains_meet_their_targets(spark, monkeypatch, sharp):
+    r = np.random.default_rng(1)
+    logits = r.normal(size=(2000, 3)) * 0.7
+    logits[np.arange(2000), r.choice(3, 2000, p=[0.75, 0.13, 0.12])] += sharp
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    marked = spark.createDataFrame([(i, int(n), *map(float, x)) for i, (n, x) in enumerate(zip(r.integers(20, 900, 2000), p, strict=True))], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+    monkeypatch.setattr(M, "posteriors", lambda *_: marked)
+    model = M.Model(("clean", "low", "toxic"), np.zeros((1, 3)), np.zeros(3), M.Settings())
+    got = M.mix(marked, model, {"clean": 0.9, "low": 0.06, "toxic": 0.04}).collect()
+    share = np.array([[g.p_clean, g.p_low, g.p_toxic] for g in got]) * np.array([[g.n_tokens] for g in got])
+    target = M.target_tokens(share.sum(axis=0), np.array([0.9, 0.06, 0.04]), None)
+    assert (share * np.array([[g.rate] for g in got])).sum(axis=0) == pytest.approx(target, rel=1e-3) and min(g.rate for g in got) >= 0
+
+
+def test_nearest_step_where_targets_cannot_be_met():
+    r = np.random.default_rng(3)
+    p, tokens = r.dirichlet([1, 1, 1], 200), r.integers(1, 50, 200).astype(float)
+    size = (p * tokens[:, None]).sum(axis=0)
+    target = size * [1.0, 0.0, 0.0]
+
+    def moments(step):
+        rate = np.maximum(1 - p @ np.array(step), 0)
+        return (tokens * rate * rate).sum() / 2, (p * (tokens * rate)[:, None]).sum(axis=0), (p * (tokens * (rate > 0))[:, None]).T @ p
+
+    step, now, settled = M.nearest_step(moments, size, target, np.zeros(3), 1e-4)
+    rate, pull = np.maximum(1 - p @ np.array(step), 0), p @ ((now - target) / size)
+    assert settled and np.abs(pull[rate > 0]).max() < 0.01 and pull[rate == 0].min() > -0.01  # no rate can move to lower the misses
