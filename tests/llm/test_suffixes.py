@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from tessera.llm import _text as T
 from tessera.llm import suffixes as S
@@ -12,15 +13,18 @@ SCHEMA = "doc_id long, text string, n_chars long, first string"
 SMALL = S.Settings(words=10, seed=5)
 
 
+def digest(text):
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64)) if text is not None else 42
+
+
 def brute_windows(rows, k):
-    """(doc, window) to the smallest id that has it, of windows that two ids have."""
+    """(doc, digest, window) to the first place (doc, digest, window) that has it, of windows that stand twice."""
     seen = {}
-    cut = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
-    for d, w in cut:
+    cut = {(d, digest(t)): re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in rows if d is not None}
+    for row, w in cut.items():
         for i in range(len(w) - k + 1):
-            if d is not None:
-                seen.setdefault(tuple(w[i : i + k]), set()).add(d)
-    return {(d, i): min(seen[tuple(w[i : i + k])]) for d, w in cut if d is not None for i in range(len(w) - k + 1) if len(seen[tuple(w[i : i + k])]) > 1}
+            seen.setdefault(tuple(w[i : i + k]), set()).add((*row, i))
+    return {place: min(places) for places in seen.values() if len(places) > 1 for place in places}
 
 
 def texts(seed, n=60):
@@ -39,15 +43,26 @@ def texts(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_windows_against_brute_force(spark, seed):
-    rows = [(i * 3 % 101, t) for i, t in enumerate(texts(seed))] + [(500, None), (501, ""), (None, "la " * 40), (6, texts(seed)[2])]
+@pytest.mark.parametrize(("seed", "slice_rows"), [(1, 20_000), (2, 40), (3, 7)])
+def test_windows_against_brute_force(spark, monkeypatch, seed, slice_rows):
+    monkeypatch.setattr(S, "SLICE_ROWS", slice_rows)
+    rows = [(i * 3 % 101, t) for i, t in enumerate(texts(seed))] + [(500, None), (501, ""), (None, "la " * 40), (6, texts(seed)[2]), (7, texts(seed)[3]), (7, texts(seed)[3])]
     df = spark.createDataFrame([(d, t, None, "c") for d, t in rows], SCHEMA).repartition(3)
-    got = {}
+    got, firsts = {}, {}
     for r in S.shared_windows(df, SMALL).collect():
         for i in range(r.first, r.last + 1):
-            got[r.doc_id, i] = min(r.least, got.get((r.doc_id, i), r.least))
-    assert got == brute_windows(rows, SMALL.words)
+            got[r.doc_id, r.digest, i] = min(r.least, got.get((r.doc_id, r.digest, i), r.least))
+            firsts.setdefault((r.doc_id, r.digest, i), set()).add((r.own, r.same))
+    want = brute_windows(rows, SMALL.words)
+    assert got == {place: first[0] for place, first in want.items()}
+    assert firsts == {place: {(place == first, place[:2] == first[:2])} for place, first in want.items()}
+
+
+def test_neighbours():
+    r = np.random.default_rng(1)
+    rows = np.array(sorted(r.integers(0, 3, (200, 6)).tolist()), dtype=np.uint64)
+    want = [0] + [next((k for k in range(6) if x[k] != y[k]), 6) for x, y in zip(rows, rows[1:])]
+    assert S.neighbours(rows).tolist() == want
 
 
 def test_every_window_has_a_retained_seed():
@@ -55,41 +70,67 @@ def test_every_window_has_a_retained_seed():
     column = pa.array([" ".join(r.choices("abcdefg", k=r.randint(0, 80))) for _ in range(50)])
     for block in T.blocks(column, 500):
         words, first = S._word_hashes(block)
-        place, seed, doc = S.retained(words, first, SMALL)
+        place, seed, doc, after, before = S.retained(words, first, SMALL)
         for d in range(len(block)):
             n = first[d + 1] - first[d]
-            mine = set((place[doc == d] - first[d]).tolist())
+            mine = {}
+            for x, lo, hi in zip((place[doc == d] - first[d]).tolist(), after[doc == d].tolist(), before[doc == d].tolist()):
+                mine[x] = {x - a for a in range(lo, hi + 1)}
             for i in range(n - SMALL.words + 1):
                 inside = range(i, i + SMALL.window)
                 hashes = [int(T.gram_hashes(T.word_prefix(words), np.array([first[d] + j]), np.array([first[d] + j + SMALL.seed]))[0]) for j in inside]
-                assert {j for j, h in zip(inside, hashes) if h == min(hashes)} <= mine
+                assert {j for j, h in zip(inside, hashes) if h == min(hashes)} == {j for j in inside if i in mine.get(j, ())}
 
 
 def brute_cut(rows, k):
+    """What is left of each row with an id, texts that go left out."""
     shared = brute_windows(rows, k)
-    out = {}
+    out = []
     for d, t in rows:
         if d is None:
             continue
         spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
-        gone = {j for i in range(len(spans)) if shared.get((d, i), d) < d for j in range(i, i + k)}
+        where = {i: shared[d, digest(t), i] for i in range(len(spans)) if (d, digest(t), i) in shared}
+        words = lambda keep: {j for i, first in where.items() if keep(i, first) for j in range(i, i + k)}
+        elsewhere = words(lambda i, first: first[:2] != (d, digest(t)))
+        gone = elsewhere | words(lambda i, first: first[:2] == (d, digest(t)) and first[2] < i) - words(lambda i, first: first == (d, digest(t), i))
         if gone:
-            t = "".join(t[(0 if i == 0 else a) if i or not i in gone else a : (spans[i + 1][0] if i + 1 < len(spans) else len(t))] if i not in gone else (t[:a] if i == 0 else "") for i, (a, _) in enumerate(spans))
+            ends = [a for a, _ in spans[1:]] + [len(t)]
+            t = t[: spans[0][0]] + "".join(t[a:e] for i, ((a, _), e) in enumerate(zip(spans, ends)) if i not in gone)
         if not gone or t.strip(" \t\n\x0b\x0c\r"):
-            out[d] = t
+            out.append((d, t))
     return out
 
 
 @pytest.mark.parametrize("seed", [5, 6])
 def test_cut_against_brute_force(spark, seed):
-    rows = [(i, t) for i, t in enumerate(texts(seed))] + [(500, None), (501, "")]
+    rows = [(i, t) for i, t in enumerate(texts(seed))] + [(500, None), (501, ""), (8, texts(seed)[9]), (9, texts(seed)[9])]
     df = spark.createDataFrame([(d, t, len(t or ""), "c") for d, t in rows] + [(None, "la " * 40, 7, "c")], SCHEMA)
     cut = S.without_repeats(df, SMALL)
     assert cut.schema == df.schema
-    got = {r.doc_id: (r.text, r.n_chars) for r in cut.collect()}
-    assert got.pop(None) == ("la " * 40, 7)
-    want = brute_cut(rows, SMALL.words)
-    assert {d: t for d, (t, _) in got.items()} == want and all(n == len(t or "") for t, n in got.values())
+    got = cut.collect()
+    assert [(r.text, r.n_chars) for r in got if r.doc_id is None] == [("la " * 40, 7)]
+    key = lambda x: tuple(map(str, x))
+    assert sorted([(r.doc_id, r.text) for r in got if r.doc_id is not None], key=key) == sorted(brute_cut(rows, SMALL.words), key=key) and all(r.n_chars == len(r.text or "") for r in got if r.doc_id is not None)
+
+
+def test_texts_of_one_id_lose_no_unique_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, f"{c} {a}"), (3, f"{b} tail {c}"), (1, a), (2, b)]
+    odd = spark.createDataFrame([(d, t, 0, "r", 1, "z") for d, t in rows], "doc_id long, text string, n_chars long, runs string, __id int, `a.b` string")
+    got = S.without_repeats(odd)
+    assert got.columns == odd.columns
+    found = sorted((r.doc_id, r.text.strip()) for r in got.collect())
+    assert found == sorted((d, t.strip()) for d, t in brute_cut(rows, 50)) and sum(c in t for _, t in found) == 1 and any(t.startswith("tail") or t == "tail" for _, t in found)
+
+
+def test_repeats_inside_one_text(spark):
+    p, x = (" ".join(f"{k}{i}" for i in range(70)) for k in "px")
+    rows = [(1, f"{p} {x} {p}", 0, ""), (2, "la " * 200, 0, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [(r.doc_id, r.text.split()) for r in S.without_repeats(df).orderBy("doc_id").collect()] == [(1, f"{p} {x}".split()), (2, ["la"] * 50)]
+    got = sorted(map(tuple, S.repeated_passages(df).collect()))
+    assert got == [(1, 0, 70, 1, 2, True), (1, 140, 70, 1, 2, False), (2, 0, 200, 2, 1, False)]
 
 
 def test_passages(spark):
