@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import atexit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.sources.shared import new_folder
 
@@ -28,6 +29,13 @@ def _at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """Rows of `docs`, all columns, whose key isn't among those of the one column of `gone`; the rows are one struct
+    meanwhile, so their columns may have any names."""
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    return rows.join(gone.toDF("key"), "key", "left_anti").select("row.*")
+
+
 class Tables:
     """Names written tables of one operator run; `drop` removes those no later step reads."""
 

@@ -42,20 +42,33 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[root[far]]
 
 
+class Forest:
+    """Edges of one partition, kept as a spanning forest of at most twice its size."""
+
+    def __init__(self) -> None:
+        self.a = self.b = np.zeros(0, dtype=np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append((a, b))
+        self.n += len(a)
+        if self.n > max(len(self.a), 100_000):
+            self.edges()
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.held:
+            self.a, self.b = forest(*(np.concatenate([own, *(x[i] for x in self.held)]) for i, own in enumerate((self.a, self.b))))
+            self.held, self.n = [], 0
+        return self.a, self.b
+
+
 def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One partition's edges, two long columns without nulls, as a spanning forest."""
-    a = b = np.zeros(0, dtype=np.int64)
-    held: list[pa.RecordBatch] = []
+    out = Forest()
     for batch in batches:
-        held.append(batch)
-        if sum(x.num_rows for x in held) > max(len(a), 100_000):
-            a, b, held = *_joined(a, b, held), []
-    a, b = _joined(a, b, held)
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def _joined(a: np.ndarray, b: np.ndarray, more: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    return forest(np.concatenate([a, *(x.column(0).to_numpy() for x in more)]), np.concatenate([b, *(x.column(1).to_numpy() for x in more)]))
+        out.add(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.edges()], names=["a", "b"])
 
 
 def components(edges: DataFrame, tables: Tables, shrunk: bool = False) -> DataFrame:

@@ -8,7 +8,12 @@ an equality grouping of these one-wildcard variants brings each linked pair toge
 counting the bits of the whole fingerprints verifies it.  Equal fingerprints collapse before
 that, and a bucket yields a spanning forest of its links, not its pairs.
 
-Segments: distance // 2 + 1 of them, so one of them differs by at most one bit.
+Segments: distance // 2 + 1 of them, so one of them differs by at most one bit.  A bucket of over `MOST_BUCKET`
+fingerprints, as templated texts may fill it, is not searched in its task but dealt out anew: its fingerprints
+are indexed a second time by the variants of the segments of the bits outside the first one, of which one differs by at
+most one bit again.  Members of such a smaller bucket agree in all but some 18 bits, which bounds it.
+
+The hash of each shingle is a call of its own, the dearest part of this operator; the rest is array operations.
 """
 
 from __future__ import annotations
@@ -22,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as T
-from tessera.llm._tables import Tables
-from tessera.llm.components import components, local_forest
+from tessera.llm._tables import Tables, without
+from tessera.llm.components import Forest, components
 
 U64 = np.uint64
 BITS = 64
 SEED = 42
+#: Distinct fingerprints of a bucket that are searched in one task; more are dealt out by a second index.
+MOST_BUCKET = 8192
 
 
 def _shingles(block: T.Block, words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,19 +95,55 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _masks(distance: int) -> list[int]:
+    """The bits of each variant: a segment without one of its bits."""
+    return [((1 << width) - 1 << low) & ~(1 << low + i) for low, width in segments(distance) for i in range(width)]
+
+
+def _second_masks(distance: int, mask: int) -> list[int]:
+    """The bits of each variant of the bits outside the segment that `mask` is of."""
+    low, width = next((a, w) for a, w in segments(distance) if mask >> a & (1 << w) - 1)
+    others = [i for i in range(BITS) if not low <= i < low + width]
+    n = distance // 2 + 1
+    parts = [others[len(others) * i // n : len(others) * (i + 1) // n] for i in range(n)]
+    return [sum(1 << j for j in part if j != i) for part in parts for i in part]
+
+
+def _keys(fp: np.ndarray, masks: list[int]) -> np.ndarray:
+    """(masks, fingerprints): hashes of the masked bits and of which mask it was."""
+    place = np.arange(1, len(masks) + 1, dtype=U64)[:, None] * U64(T.BYTE_BASE)
+    return T.mix(fp[None, :] & np.array(masks, dtype=U64)[:, None] ^ place)
+
+
 def _variants(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each fingerprint under every segment with each of its bits left out."""
-    masks = [((1 << width) - 1 << low) & ~(1 << low + i) for low, width in segments(distance) for i in range(width)]
+    masks = _masks(distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.array(masks, dtype=U64)[:, None]
-        place = np.arange(1, len(masks) + 1, dtype=U64)[:, None] * U64(T.BYTE_BASE)
         for batch in batches:
             fp = batch.column(0).to_numpy().view(U64)
             for lo in range(0, len(fp), 4096):
                 part = fp[lo : lo + 4096]
-                key = T.mix(part[None, :] & mask ^ place).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.tile(part.view(np.int64), len(masks)))], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(part, masks).ravel().view(np.int64)), pa.array(np.tile(part.view(np.int64), len(masks)))], names=["key", "fp"])
+
+    return run
+
+
+def _second_variants(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, fp) of large buckets under the variants of the bits outside the segment that the key is of."""
+    masks = _masks(distance)
+    second = [_second_masks(distance, m) for m in masks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, fp = (batch.column(i).to_numpy().view(U64) for i in (0, 1))
+            for lo in range(0, len(fp), 4096):
+                k, part = key[lo : lo + 4096], fp[lo : lo + 4096]
+                which = (_keys(part, masks) == k).argmax(axis=0)
+                for m in np.unique(which).tolist():
+                    mine = which == m
+                    keys = T.mix(_keys(part[mine], second[m]) + k[mine])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(part[mine].view(np.int64), len(second[m])))], names=["key", "fp"])
 
     return run
 
@@ -124,37 +167,55 @@ def linked(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _links(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A spanning forest of the links inside runs of equal keys; rows come sorted by key."""
+def _links(distance: int, most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A spanning forest of the links inside runs of equal keys; rows come sorted by key.  Runs of over `most` rows come back as they
+    are, (key, fp) with `late`, as they are read: nothing holds them."""
 
-    def of(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    def of(forest: Forest, key: np.ndarray, fp: np.ndarray) -> None:
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
         size = np.diff(np.concatenate([cut, [len(key)]]))
         a, b = [], []
         two = cut[size == 2]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance
+        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance if len(two) else np.zeros(0, dtype=bool)
         a.append(fp[two][near])
-        b.append(fp[two + 1][near])
+        b.append(fp[two + 1][near] if len(two) else fp[:0])
         for lo, n in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             x, y = linked(fp[lo : lo + n], distance)
             a.append(x)
             b.append(y)
         pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1).view(np.int64), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+        forest.add(pair[:, 0], pair[:, 1])
+
+    def rows(a: np.ndarray, b: np.ndarray, late: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), late))], names=["a", "b", "late"])
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, large = Forest(), None
         key, fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
         for batch in batches:
             key = np.concatenate([key, batch.column(0).to_numpy()])
             fp = np.concatenate([fp, batch.column(1).to_numpy().view(U64)])
-            if len(key) and key[0] != key[-1]:
-                end = int(np.searchsorted(key, key[-1], "left"))
-                yield of(key[:end], fp[:end])
+            while len(key):
+                end = int(np.searchsorted(key, key[0], "right"))
+                if large == key[0] or most is not None and end > most:
+                    large = int(key[0])
+                    yield rows(key[:end], fp[:end], True)
+                    key, fp = key[end:], fp[end:]
+                    continue
+                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                size = np.diff(start)  # of all runs but the last, which may go on
+                over = np.flatnonzero(size > most) if most is not None else size[:0]
+                end = int(start[over[0]]) if len(over) else int(start[-1])
+                if not end:
+                    break
+                of(forest, key[:end], fp[:end])
                 key, fp = key[end:], fp[end:]
-        if len(key):
-            yield of(key, fp)
+                if not len(over):
+                    break
+        of(forest, key, fp)
+        yield rows(*forest.edges(), False)
 
-    return lambda batches: local_forest(runs(batches))
+    return run
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +238,11 @@ def grouped(marked: DataFrame, distance: int, tables: Tables) -> DataFrame:
     """near_duplicates() of a written (doc_id, fp) table."""
     kinds = tables.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     index = kinds.select("fp").mapInArrow(_variants(distance), "key long, fp long")
-    links = index.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance), "a long, b long")
+    schema = "a long, b long, late boolean"
+    found = tables.written(index.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance, MOST_BUCKET), schema))
+    large = found.where("late").select("a", "b").mapInArrow(_second_variants(distance), "key long, fp long")
+    more = large.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance, None), schema)
+    links = found.where(~F.col("late")).unionByName(more).select("a", "b")
     roots = tables.written(components(links, tables, shrunk=True))
     placed = kinds.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -187,8 +252,7 @@ def grouped(marked: DataFrame, distance: int, tables: Tables) -> DataFrame:
 
 def first_of_each(docs: DataFrame, words: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `docs` with one document of each near-duplicate group, the one with the smallest id;
-    equal rows of that document all stay, rows with a null id all stay.  All columns are kept."""
+    equal rows of that document all stay, rows with a null id all stay.  All columns are kept, whatever their names.  An
+    empty table gives an empty one."""
     groups = near_duplicates(docs, words, distance, id_col, text_col)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept_id = F.col(id_col).cast("long")
-    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), kept_id == F.col("__gone"), "left_anti")
+    return without(docs, F.col(id_col).cast("long"), groups.where("doc_id <> component_id").select("doc_id").distinct())

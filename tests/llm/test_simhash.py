@@ -64,6 +64,37 @@ def test_links_of_close_fingerprints(spark):
     assert sorted(map(tuple, got)) == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("most", [2, 5, 60])
+def test_large_buckets_lose_no_link(spark, monkeypatch, most):
+    """Fingerprints of templated texts agree in a whole segment; their buckets are dealt out by the second index."""
+    monkeypatch.setattr(simhash, "MOST_BUCKET", most)
+    r = random.Random(9)
+    low, fps = r.getrandbits(32), []
+    for _ in range(120):
+        x = r.getrandbits(32) << 32 | low
+        fps += [x] + [x ^ sum(1 << b for b in r.sample(range(64), k)) for k in (1, 3, 3, 4)]
+    rows = list(enumerate(dict.fromkeys(fps)))
+    tables = Tables(spark, "test")
+    marked = spark.createDataFrame([(d, int(np.uint64(x).astype(np.int64))) for d, x in rows], "doc_id long, fp long")
+    assert sorted(map(tuple, simhash.grouped(tables.written(marked), 3, tables).collect())) == sorted(brute_components(rows))
+
+
+@pytest.mark.parametrize("distance", [1, 3, 5])
+def test_second_masks_cover(distance):
+    for mask in simhash._masks(distance):
+        parts = simhash._second_masks(distance, mask)
+        low, width = next((a, w) for a, w in simhash.segments(distance) if mask >> a & (1 << w) - 1)
+        every = 0
+        for m in parts:
+            every |= m
+        assert every == ((1 << 64) - 1) & ~((1 << width) - 1 << low) and len(parts) == 64 - width
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(3, "a b c d e f g", 1, "x"), (1, "a b c d e f g", 2, "y")], "doc_id long, text string, __gone int, `k.e.y` string")
+    assert [tuple(x) for x in simhash.first_of_each(df).collect()] == [(1, "a b c d e f g", 2, "y")]
+
+
 @pytest.mark.parametrize("distance", [1, 2, 3, 5])
 def test_segments_cover(distance):
     parts = simhash.segments(distance)
