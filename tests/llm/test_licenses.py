@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -54,7 +55,7 @@ def test_examples(spark, text, labels):
 
 
 def test_rules():
-    assert len(L.RULES) > 300
+    assert len(L.RULES) > 600 and len(set(L.SIGNATURES)) > 190
     for r in L.RULES:
         assert r.keyword in re.sub(r"[^a-z0-9 ]", " ", r.pattern).split()
         assert not re.search(r.regex, "  ")
@@ -66,3 +67,15 @@ def test_empty_and_native(spark, capsys):
     df.explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_time_grows_with_the_text(spark):
+    """Many detections in one text: 48,000 of base phrases and as many words around."""
+    took = []
+    for n in (6000, 48_000):
+        df = spark.createDataFrame([(1, "cc by " * n + "all rights reserved " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = L.scan(df).first()
+        took.append(time.perf_counter() - began)
+        assert row.n_base == 2 * n and row.first_word == 0 and row.last_word == 5 * n - 3
+    assert took[1] < 8 * 3 * took[0] and took[1] < 60
