@@ -141,6 +141,12 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def joined(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string column, and its offsets."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return _buffers(column)
+
+
 def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[Block]:
     """Runs of whole documents of at most `most` bytes, or one longer document."""
     data, offsets = _buffers(column)

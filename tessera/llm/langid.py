@@ -1,12 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is cut into segments of `span` bytes.  Two gated recurrent units, one from either end,
-read each segment, and every byte gets a probability for each language from both states; the
-probabilities of a document's letters are averaged.  Segments of many documents run side by
+Two gated recurrent units, one from either end, read a text, and every byte gets a probability for
+each language from both states; the probabilities of a document's letters are averaged.  Texts are read in
+windows of `span` bytes that overlap: each begins `around` bytes before its own and ends as many after, so
+that a state has seen what stands next to it on both sides.  Windows of many documents run side by
 side, so each time step is a few array operations, and a long text is no longer than others.
 
-Training is backpropagation through time in numpy, on segments drawn from all parts of a
-bounded number of labelled documents.
+Training is backpropagation through time in numpy, truncated to pieces of `piece` bytes, over all pieces of the
+whole texts of a bounded number of labelled documents of each language.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as T
@@ -27,20 +29,22 @@ Weights = dict[str, np.ndarray]
 
 @dataclass(frozen=True)
 class Settings:
-    """Sizes of the network, and bounds of training: at most `documents` labelled documents, those with the smallest
-    hashes of their ids, and `segments` segments of each."""
+    """Sizes of the network, and the bound of training: at most `documents` labelled documents of each language, drawn by
+    hashes of their ids, with their whole texts; `steps` batches at least, and as many as the language with
+    most pieces needs to have each drawn once."""
 
-    span: int = 64
+    span: int = 256
+    around: int = 32
+    piece: int = 64
     embed: int = 8
     hidden: int = 12
-    documents: int = 3000
-    segments: int = 4
+    documents: int = 250
     steps: int = 300
     batch: int = 128
     rate: float = 0.01
     seed: int = 7
-    #: Segments run side by side when predicting.
-    lanes: int = 2048
+    #: Windows run side by side when predicting.
+    lanes: int = 1024
 
 
 def start_weights(classes: int, s: Settings) -> Weights:
@@ -166,16 +170,19 @@ def loss_and_gradients(p: Weights, x: np.ndarray, sizes: np.ndarray, label: np.n
 
 
 def train(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, label: np.ndarray, classes: int, s: Settings) -> Weights:
-    """Adam on batches of segments; every language is drawn alike often."""
+    """Adam on batches of pieces; every language is drawn alike often, each of its pieces once before any again."""
     r = np.random.default_rng(s.seed)
     p = start_weights(classes, s)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     by_class = [np.flatnonzero(label == c) for c in range(classes)]
-    for step in range(1, s.steps + 1):
-        pick = np.concatenate([r.choice(own, -(-s.batch // classes)) for own in by_class])
-        _, g = loss_and_gradients(p, both_ways(data, starts[pick], sizes[pick], s.span), sizes[pick], label[pick])
+    each = -(-s.batch // classes)
+    steps = max(s.steps, *(-(-len(own) // each) for own in by_class))
+    turns = [np.concatenate([r.permutation(own) for _ in range(-(-steps * each // len(own)))]) for own in by_class]
+    for step in range(1, steps + 1):
+        pick = np.concatenate([own[(step - 1) * each : step * each] for own in turns])
+        _, g = loss_and_gradients(p, both_ways(data, starts[pick], sizes[pick], s.piece), sizes[pick], label[pick])
         size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        rate = s.rate * min(1.0, 2 * (1 - step / (s.steps + 1)))
+        rate = s.rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, x in g.items():
             x = x * min(1.0, 1 / (size + 1e-12))
             m[k] += 0.1 * (x - m[k])
@@ -193,17 +200,20 @@ def document_probabilities(p: Weights, block: T.Block, s: Settings) -> np.ndarra
     doc = np.repeat(np.arange(len(n)), count)
     rank = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     starts = offsets[doc] + rank * s.span
-    sizes = np.minimum(offsets[doc + 1] - starts, s.span)
+    ends = np.minimum(starts + s.span, offsets[doc + 1])
+    low, high = np.maximum(starts - s.around, offsets[doc]), np.minimum(ends + s.around, offsets[doc + 1])
+    width = s.span + 2 * s.around
     letters = T.LETTERS[data]
     total = np.zeros((len(n), classes))
     for lo in range(0, len(doc), s.lanes):
-        a, b = starts[lo : lo + s.lanes], sizes[lo : lo + s.lanes]
-        probability = position_probabilities(p, both_ways(data, a, b, s.span), b)
-        step = np.arange(s.span)[:, None]
-        held = (step < b) & letters[a + np.minimum(step, b - 1)]
+        part = slice(lo, lo + s.lanes)
+        a, b = low[part], high[part] - low[part]
+        probability = position_probabilities(p, both_ways(data, a, b, width), b)
+        at = a + np.minimum(np.arange(width)[:, None], b - 1)
+        held = (np.arange(width)[:, None] < b) & (at >= starts[part]) & (at < ends[part]) & letters[at]
         sums = np.einsum("tnc,tn->nc", probability, held.astype(np.float32))
         for c in range(classes):
-            total[:, c] += np.bincount(doc[lo : lo + s.lanes], sums[:, c], minlength=len(n))
+            total[:, c] += np.bincount(doc[part], sums[:, c], minlength=len(n))
     seen = T.per_document(letters, offsets)
     return total / np.maximum(seen, 1)[:, None]
 
@@ -222,20 +232,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _draw(batches: Iterator[pa.RecordBatch], span: int, segments: int) -> Iterator[pa.RecordBatch]:
-    """Some segments of each text, from its beginning to its end."""
-    for batch in batches:
-        doc, rank, cut = [], [], []
-        for block in T.blocks(batch.column("text")):
-            raw = block.data.tobytes()
-            for i, (a, b) in enumerate(zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)):
-                total = -(-(b - a) // span)
-                for k in sorted({j * total // segments for j in range(segments)} if total else ()):
-                    doc.append(block.lo + i)
-                    rank.append(k)
-                    cut.append(raw[a + k * span : min(a + (k + 1) * span, b)])
-        at = pa.array(doc, type=pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("lang").take(at), pa.array(rank, type=pa.int64()), pa.array(cut, type=pa.binary())], names=["doc_id", "lang", "rank", "cut"])
+def pieces(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, and the starts, sizes and texts of the pieces of at most `width` bytes that they are cut into."""
+    data, offsets = T.joined(column)
+    n = np.diff(offsets)
+    count = -(-n // width)
+    doc = np.repeat(np.arange(len(n)), count)
+    starts = offsets[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * width
+    return data, starts, np.minimum(starts + width, offsets[doc + 1]) - starts, doc
 
 
 @dataclass(frozen=True)
@@ -246,21 +250,22 @@ class Model:
 
 
 def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from rows with id, text and language that aren't held out; see Settings for the bounds."""
+    """Learn from rows with id, text and language that aren't held out; see Settings for the bound.  Languages are few: their
+    number, not that of documents, is what the driver counts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    usable = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.documents)  # bounded by the setting
-    drawn = usable.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
-    cuts = drawn.mapInArrow(lambda batches: _draw(batches, settings.span, settings.segments), "doc_id long, lang string, rank long, cut binary")
-    found = cuts.orderBy(F.xxhash64("doc_id"), "doc_id", "rank", "cut", "lang").limit(settings.documents * settings.segments).collect()
-    languages = tuple(sorted({r.lang for r in found}))
+    usable = rows.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("luck", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 11) / float(1 << 53))
+    there = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = tuple(sorted(there))
     if len(languages) < 2:
         return Model(languages, {}, settings)
-    raw = [bytes(r.cut) for r in found]
-    sizes = np.array([len(x) for x in raw])
-    label = np.array([languages.index(r.lang) for r in found])
-    weights = train(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes, label, len(languages), settings)
-    return Model(languages, weights, settings)
+    # about twice as many as wanted by their luck, then the luckiest of them
+    reach = F.create_map(*[F.lit(x) for lang, n in there.items() for x in (lang, min(1.0, (2 * settings.documents + 100) / n))])
+    order = W.partitionBy("lang").orderBy("luck", "doc_id", "text")
+    drawn = usable.where(F.col("luck") < F.element_at(reach, F.col("lang"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.documents)
+    table = drawn.orderBy("lang", "rank").select("lang", "text").toArrow().combine_chunks()
+    data, starts, sizes, doc = pieces(table.column("text").combine_chunks(), settings.piece)
+    label = np.array([languages.index(x) for x in table.column("lang").to_pylist()])[doc]
+    return Model(languages, train(data, starts, sizes, label, len(languages), settings), settings)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -294,14 +299,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(lambda batches: _predict(batches, model), "doc_id long, lang_pred string, score double")
 
 
-def _accept(batches: Iterator[pa.RecordBatch], model: Model, text_col: str, least: float) -> Iterator[pa.RecordBatch]:
+def _accept(batches: Iterator[pa.RecordBatch], model: Model, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = pa.RecordBatch.from_arrays([batch.column(text_col)], names=["text"])
-        (found,) = _predict(iter([own]), model)
+        (found,) = _predict(iter([batch.select(["text"])]), model)
         known = np.asarray(found.column("lang_pred").to_numpy(zero_copy_only=False) != UNKNOWN, dtype=bool)
         yield batch.filter(pa.array(known & (found.column("score").to_numpy() >= least)))
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Rows of `docs`, all columns, whose text has a language with a probability of at least `least`."""
-    return docs.mapInArrow(lambda batches: _accept(batches, model, text_col, least), docs.schema)
+    """Rows of `docs`, all columns, whose text has a language with a probability of at least `least`.  A text alone
+    decides: repeated rows go or stay together, null texts and those without a letter go, rows with a null id are like others.
+    Columns may have any names.  An empty table gives an empty one."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: _accept(batches, model, least), rows.schema).select("row.*")

@@ -8,7 +8,7 @@ from tessera.llm import _text as T
 from tessera.llm import langid as G
 
 SCHEMA = "doc_id long, text string, lang string, score string"
-SMALL = G.Settings(span=16, embed=4, hidden=6, documents=400, segments=3, steps=120, batch=48, lanes=7)
+SMALL = G.Settings(span=16, around=5, piece=16, embed=4, hidden=6, documents=130, steps=120, batch=48, lanes=7)
 
 
 def test_gradients():
@@ -50,7 +50,10 @@ def test_documents_against_brute_force():
     got = np.concatenate([G.document_probabilities(p, b, SMALL) for b in T.blocks(pa.array(texts), 60)])
     for text, row in zip(texts, got, strict=True):
         raw = (text or "").encode()
-        parts = [brute_position(p, raw[i : i + 16]) for i in range(0, len(raw), 16)]
+        parts = []
+        for i in range(0, len(raw), 16):  # each byte from the window that it is in the middle of
+            low = max(i - 5, 0)
+            parts.append(brute_position(p, raw[low : i + 21])[i - low : i - low + 16])
         letters = [T.LETTERS[c] for c in raw]
         want = np.concatenate(parts)[np.array(letters)].mean(axis=0) if any(letters) else np.zeros(3)
         assert row == pytest.approx(want, abs=1e-5)
@@ -94,3 +97,40 @@ def test_few_labels(spark):
     assert {r.lang_pred for r in G.predict(one, G.fit(one, SMALL)).collect()} == {"xx"}
     empty = spark.createDataFrame([], SCHEMA)
     assert G.predict(empty, G.fit(empty, SMALL)).count() == 0
+
+
+def test_rare_languages_are_learnt(spark):
+    """Of 3 documents beside 4000 as well, at every size."""
+    r = random.Random(5)
+    words = {"aa": ["the", "and", "with", "thing"], "zz": ["ción", "mañana", "está", "qué"]}
+    text = lambda k: " ".join(r.choices(words[k], k=20))
+    rows = [(i, text("aa"), "aa", "") for i in range(4000)] + [(10_000 + i, text("zz"), "zz", "") for i in range(9) if not G_crc(10_000 + i)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = G.fit(df, SMALL)
+    assert model.languages == ("aa", "zz")
+    got = G.predict(spark.createDataFrame([(1, text("aa"), None, None), (2, text("zz"), None, None)], SCHEMA), model).collect()
+    assert [x.lang_pred for x in got] == ["aa", "zz"]
+
+
+def test_whole_texts_are_learnt():
+    texts = ["a" * 100, "", "b" * 16, "c" * 17, "ü" * 40]
+    data, starts, sizes, doc = G.pieces(pa.chunked_array([texts[:2], texts[2:]]), 16)
+    for i, text in enumerate(texts):
+        assert b"".join(data[a : a + n].tobytes() for a, n, d in zip(starts, sizes, doc) if d == i) == text.encode()
+    assert sizes.max() == 16
+    drawn = []
+    real = G.loss_and_gradients
+    G.loss_and_gradients = lambda p, x, n, label: drawn.append(label) or real(p, x, n, label)
+    try:
+        label = np.repeat([0, 1], [300, 20])
+        G.train(np.zeros(320, dtype=np.uint8), np.arange(320), np.ones(320, dtype=np.int64), label, 2, G.Settings(piece=1, embed=2, hidden=2, steps=3, batch=8))
+    finally:
+        G.loss_and_gradients = real
+    assert len(drawn) == 75 and all((x == 0).sum() == (x == 1).sum() == 4 for x in drawn)
+
+
+def test_accepted_keeps_columns_and_rows(spark):
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    odd = spark.createDataFrame([(1, "the thing and with", 1, 2), (1, "the thing and with", 1, 2), (2, None, 1, 2), (None, "the thing and with", 1, 2), (3, "12", 1, 2)], "doc_id long, text string, `a.b` int, lang_pred int")
+    got = G.accepted(odd, G.fit(df, SMALL), 0.5)
+    assert got.columns == odd.columns and [x.doc_id for x in got.collect()] == [1, 1, None]
