@@ -117,9 +117,9 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Encodes short texts with the vocabulary of a `tokenizers` file.  Where that is a plain byte-level
-    BPE whose ids stand in the order of its merges, they serve as the ranks of a quicker encoder of the same ids."""
+def encoder(path: str) -> tuple[Callable[[str], list[int]], bool]:
+    """Encodes texts with the vocabulary of a `tokenizers` file, and whether texts may be cut at spaces before.  Where that is a plain byte-level
+    BPE whose ids stand in the order of its merges, they serve as the ranks of a quicker encoder of the same ids, and they may."""
     with open(path) as f:
         spec = json.load(f)
     model, before = spec["model"], spec["pre_tokenizer"] or {}
@@ -131,21 +131,22 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
         byte, special = _byte_of(), {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, True
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
     slow.encode_special_tokens = True
-    return lambda text: slow.encode(text, add_special_tokens=False).ids
+    return (lambda text: slow.encode(text, add_special_tokens=False).ids), False
 
 
 class Tokens:
     """Ids of texts.  The byte-level pre-tokeniser never joins a space that stands before a
-    non-space to what is before it, so texts are cut there, and equal chunks are encoded once."""
+    non-space to what is before it, so texts are cut there, and equal chunks are encoded once.  For any other
+    tokeniser a text is one chunk."""
 
     def __init__(self, path: str):
-        self.encode = encoder(path)
+        self.encode, self.cut = encoder(path)
         self.clear()
 
     def clear(self) -> None:
@@ -176,7 +177,8 @@ class Tokens:
         cut = np.zeros(n + 1, dtype=bool)
         after = data[1:]
         # not before other space, nor before what may begin a space outside ASCII
-        cut[: n - 1] = (data[:-1] == 0x20) & (after > 0x20) & (after != 0xC2) & ((after < 0xE1) | (after > 0xE3))
+        if self.cut:
+            cut[: n - 1] = (data[:-1] == 0x20) & (after > 0x20) & (after != 0xC2) & ((after < 0xE1) | (after > 0xE3))
         cut[offsets] = True
         at = np.flatnonzero(cut)
         chunks = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
@@ -235,15 +237,18 @@ def placed(cut: DataFrame, limit: int) -> DataFrame:
     order = ["doc_id", "piece", "start", "ids_crc32", "row"]
     salted = cut.where(F.col("length") < limit).withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    shares = counts.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+    shares = counts.select("length", "salt", "n", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     histogram = {r.length: r.n for r in salted.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # fewer than `limit` rows
     runs, _ = best_fit(histogram, limit)
     # a few rows for each pair of lengths at most, whatever the corpus
     plan = spark.createDataFrame([(a, b, b + n, c, o) for a, b, n, c, o in runs], "length long, rank_from long, rank_to long, bin long, bin_offset long")
+    # each salt's ranks are neighbours and so lie in few runs: these go along with the salt, in order
+    mine = shares.join(plan, "length").where("rank_to > before and rank_from < before + n")
+    lookup = mine.groupBy("length", "salt", "before").agg(F.sort_array(F.collect_list(F.struct("rank_from", "rank_to", "bin", "bin_offset"))).alias("runs"))
     ranked = salted.withColumn("at", F.row_number().over(W.partitionBy("length", "salt").orderBy(*order)) - 1)
-    ranked = ranked.join(shares, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("at"))
-    found = ranked.join(F.broadcast(plan), "length").where("rank >= rank_from and rank < rank_to")
-    fitted = found.withColumn("sequence_id", F.col("bin") + F.col("rank") - F.col("rank_from")).withColumn("offset", F.col("bin_offset"))
+    ranked = ranked.join(lookup, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("at"))
+    found = ranked.withColumn("run", F.get(F.filter("runs", lambda x: (x["rank_from"] <= F.col("rank")) & (F.col("rank") < x["rank_to"])), F.lit(0)))
+    fitted = found.withColumn("sequence_id", F.col("run.bin") + F.col("rank") - F.col("run.rank_from")).withColumn("offset", F.col("run.bin_offset"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return whole.select(*columns).unionByName(fitted.select(*columns))
 

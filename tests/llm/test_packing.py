@@ -89,7 +89,7 @@ def test_tokens(most):
 
 def test_encoders_agree():
     r = random.Random(6)
-    fast, of = packing.encoder(PATH), expected_ids()
+    (fast, _), of = packing.encoder(PATH), expected_ids()
     for _ in range(2000):
         text = " " + "".join(r.choices(["ing", "th", "ü", "Ü", "東", "z", "q", "\x85", "'", "1", "!", "a", "e", "\u0301", "🙂"], k=r.randint(1, 25)))
         assert fast(text) == of(text)
@@ -123,3 +123,38 @@ def test_pack(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_other_tokenisers_get_whole_texts(spark, tmp_path):
+    """One whose words hold spaces can't be cut at them."""
+    from tokenizers import Tokenizer, models
+
+    vocabulary = {c: i + 10 for i, c in enumerate("abc xyzé")} | {"a b": 50, "b c": 51, "[UNK]": 0}
+    path = str(tmp_path / "own.json")
+    Tokenizer(models.WordPiece(vocabulary, unk_token="[UNK]", continuing_subword_prefix="", max_input_chars_per_word=10**6)).save(path)
+    encode, cut = packing.encoder(path)
+    assert not cut and encode("a b c") == [50, 13, 12]
+    texts = ["a b c", "x y a b", "", None, "b c b c", "a b " * 500]
+    got = packing.pack(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA), path, limit=4096).collect()
+    whole = Tokenizer.from_file(path)
+    for row in got:
+        ids = [*whole.encode(texts[row.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (row.length, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"word{i % 977}" for i in range(150_000))
+    got = packing.pack(spark.createDataFrame([(1, text, ""), (2, "x", ""), (1, text, "")], SCHEMA), PATH).collect()
+    ids = packing.encoder(PATH)[0](text)
+    mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == 1)
+    raw = np.array([*ids, 2], dtype="<u4")
+    assert sum(x[2] for x in mine) == 2 * len(raw) and all(zlib.crc32(raw[a : a + n].tobytes()) == c for _, a, n, c in mine)
+    seen = defaultdict(list)
+    for r in got:
+        seen[r.sequence_id].append((r.offset, r.length))
+    for spans in seen.values():
+        end = 0
+        for offset, length in sorted(spans):
+            assert offset == end
+            end += length
+        assert end <= 1024
