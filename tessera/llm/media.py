@@ -2,7 +2,8 @@
 
 Samples are expanded by lookup tables (G.711) or decoded block by block, every step over all
 blocks of a batch at once (ADPCM: only the samples of one block depend on each other), then
-resampled by linear interpolation in whole numbers and stored as 16-bit PCM.
+resampled by linear interpolation in whole numbers and stored as 16-bit PCM.  A file's own header says how
+it is read.  A file is held whole, with its samples: a worker needs some 30 times the longest one.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tessera.llm import _text as T
 
 # Fixed values of the WAV format: format tags.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
+FORMATS = (MULAW, ALAW, IMA_ADPCM)
+_NAMES = {PCM: "pcm", ALAW: "alaw", MULAW: "mulaw", IMA_ADPCM: "adpcm"}
 
 RATE = 8000
 #: Payloads are padded with zeros to a multiple of this, which is also the size of an ADPCM block.
@@ -94,7 +97,7 @@ def resample(pcm: np.ndarray, offsets: np.ndarray, rate: int, to_rate: int) -> t
 
 
 def wav(data: bytes, tag: int, rate: int = RATE) -> bytes:
-    """A mono WAV file of stored samples."""
+    """A mono WAV file of stored samples; its sizes are 32-bit numbers, so data has less than 4 GB."""
     width, block, extra, count = {PCM: (16, 2, b"", len(data) // 2), IMA_ADPCM: (4, UNIT, struct.pack("<H", 2 * UNIT - 7), len(data) // UNIT * (2 * UNIT - 7))}.get(tag, (8, 1, b"", len(data)))
     speed = rate * block if tag != IMA_ADPCM else rate * UNIT // (2 * UNIT - 7)
     form = struct.pack("<HHIIHHH", tag, 1, rate, speed, block, width, len(extra)) + extra
@@ -127,21 +130,27 @@ def pad(block: T.Block) -> tuple[np.ndarray, np.ndarray]:
     return out, to
 
 
-def _store(batches: Iterator[pa.RecordBatch], tag: int) -> Iterator[pa.RecordBatch]:
+def chosen(payload: bytes) -> int:
+    """One of the three formats, by the payload's crc32, so equal payloads are stored alike."""
+    return FORMATS[zlib.crc32(payload) % len(FORMATS)]
+
+
+def _store(batches: Iterator[pa.RecordBatch], tag: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in T.blocks(batch.column(1)):
             data, to = pad(block)
             raw = data.tobytes()
-            media = [wav(raw[a:b], tag) for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+            parts = [raw[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+            media = [wav(x, chosen(x) if tag is None else tag) for x in parts]
             ids = batch.column(0).slice(block.lo, block.hi - block.lo)
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(block.offsets)), pa.array(media, type=pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
-def store_text(docs: DataFrame, tag: int = MULAW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def store_text(docs: DataFrame, tag: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, n_bytes long, media binary): each text's UTF-8 bytes, padded with zeros to a positive
-    multiple of 64, as the stored samples of a WAV file with the given format tag (mu-law, A-law or
+    multiple of 64, as the stored samples of a WAV file with the given format tag, or one of three by its content (mu-law, A-law and
     ADPCM, whose units are bytes, bytes and 64-byte blocks).  Null texts are empty ones; null ids and
-    repeated rows stay; other columns are not read."""
+    repeated rows stay; other columns are not read.  An empty table gives an empty result."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda batches: _store(batches, tag), "doc_id long, n_bytes long, media binary")
 
@@ -174,17 +183,22 @@ def _samples(files: list[bytes], heads: list[tuple[int, int, int, int]], tag: in
     return np.frombuffer(b"".join(cut), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in cut], dtype=np.int64)]).astype(np.int64)
 
 
+def _pcm_files(files: list[bytes], heads: list[tuple[int, int, int, int]], to_rate: int) -> list[bytes | None]:
+    """Each file's samples, decoded as its header says and resampled, as a 16-bit PCM file; None for what has no decoder."""
+    out: list[bytes | None] = [None] * len(files)
+    for tag, rate in sorted({h[:2] for h in heads if h[0] in _NAMES and h[1]}):
+        own = [i for i, h in enumerate(heads) if h[:2] == (tag, rate)]
+        data, offsets = _samples([files[i] for i in own], [heads[i] for i in own], tag)
+        pcm, to = resample(*decode(data, offsets, tag), rate, to_rate)
+        for i, a, b in zip(own, to[:-1].tolist(), to[1:].tolist(), strict=True):
+            out[i] = wav(pcm[a:b].astype("<i2").tobytes(), PCM, to_rate)
+    return out
+
+
 def _to_pcm(batches: Iterator[pa.RecordBatch], to_rate: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, files, heads in _media_blocks(batch.column(1)):
-            out: list[bytes | None] = [None] * len(files)
-            for tag, rate in {h[:2] for h in heads if h[0] in (PCM, ALAW, MULAW, IMA_ADPCM) and h[1]}:
-                own = [i for i, h in enumerate(heads) if h[:2] == (tag, rate)]
-                data, offsets = _samples([files[i] for i in own], [heads[i] for i in own], tag)
-                pcm, to = resample(*decode(data, offsets, tag), rate, to_rate)
-                for i, a, b in zip(own, to[:-1].tolist(), to[1:].tolist(), strict=True):
-                    out[i] = wav(pcm[a:b].astype("<i2").tobytes(), PCM, to_rate)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, len(files)), pa.array(out, type=pa.binary())], names=["doc_id", "pcm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, len(files)), pa.array(_pcm_files(files, heads, to_rate), type=pa.binary())], names=["doc_id", "pcm"])
 
 
 def to_pcm(media: DataFrame, to_rate: int = 16000, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -208,28 +222,38 @@ def _features(pcm: np.ndarray, offsets: np.ndarray) -> list[str]:
     return [f"{n}:{p}:{s}:{c}:{x:08x}" for n, p, s, c, x in zip(np.diff(offsets).tolist(), peaks, sums.tolist(), changes.tolist(), crcs, strict=True)]
 
 
-_DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pcm_bytes long, pcm_sha256 string, feature string"
 
 
 def _describe(batches: Iterator[pa.RecordBatch], to_rate: int) -> Iterator[pa.RecordBatch]:
+    sha = lambda x: None if x is None else hashlib.sha256(x).hexdigest()
+    size = lambda x: None if x is None else len(x)
     for batch in batches:
         for block, files, heads in _media_blocks(batch.column(2)):
-            data, offsets = _samples(files, heads, MULAW)
-            raw = data.tobytes()
-            stored = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            line = _features(*resample(*decode(data, offsets, MULAW), RATE, to_rate))
-            a = _features(*decode(data, offsets, ALAW))
-            d = _features(*decode(data, offsets, IMA_ADPCM))
-            sha = lambda x: hashlib.sha256(x).hexdigest()
+            there = batch.column(2).slice(block.lo, len(files)).is_valid().to_pylist()
+            media = [f if x else None for f, x in zip(files, there, strict=True)]
+            stored = [f[at : at + n] if tag in _NAMES else None for f, (tag, _, at, n) in zip(files, heads, strict=True)]
+            pcm = _pcm_files(files, heads, to_rate)
+            # the stored PCM is read back as any file is
+            own = [i for i, x in enumerate(pcm) if x is not None]
+            samples, offsets = _samples([pcm[i] for i in own], [parse_wav(pcm[i]) for i in own], PCM)
+            feature: list[str | None] = [None] * len(files)
+            for i, line in zip(own, _features(*decode(samples, offsets, PCM)), strict=True):
+                feature[i] = f"{_NAMES[heads[i][0]]}@{heads[i][1]}>pcm@{to_rate}={line}"
             columns = [
-                batch.column(0).slice(block.lo, len(files)), batch.column(1).slice(block.lo, len(files)), pa.array([len(x) for x in stored], type=pa.int64()), pa.array([sha(x) for x in stored]), pa.array([zlib.crc32(x[-UNIT:]) for x in stored], type=pa.int64()),
-                pa.array([len(x) for x in files], type=pa.int64()), pa.array([sha(x) for x in files]), pa.array([f"mulaw@{to_rate}={x};alaw={y};adpcm={z}" for x, y, z in zip(line, a, d, strict=True)]),
+                batch.column(0).slice(block.lo, len(files)), batch.column(1).slice(block.lo, len(files)), pa.array([size(x) for x in stored], type=pa.int64()), pa.array([sha(x) for x in stored], type=pa.string()), pa.array([None if x is None else zlib.crc32(x[-UNIT:]) for x in stored], type=pa.int64()),
+                pa.array([size(x) for x in media], type=pa.int64()), pa.array([sha(x) for x in media], type=pa.string()), pa.array([size(x) for x in pcm], type=pa.int64()), pa.array([sha(x) for x in pcm], type=pa.string()), pa.array(feature, type=pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _DESCRIBED.split(", ")])
 
 
 def describe(media: DataFrame, to_rate: int = 16000) -> DataFrame:
-    """What store_text() has stored, read back: payload size, sha256 and crc32 of its last 64 bytes, size and
-    sha256 of the whole file, and features of the samples taken as mu-law (resampled), as A-law and as ADPCM
-    blocks: samples, peak, sum of sizes, sign changes and crc32 of the 16-bit samples of each."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(lambda batches: _describe(batches, to_rate), _DESCRIBED)
+    """What store_text() has stored, (doc_id, n_bytes, media), read back as the files' headers say: payload size, sha256 and crc32 of its
+    last 64 bytes, size and sha256 of the whole file, size and sha256 of the 16-bit PCM file that its samples become, decoded and resampled,
+    and features of the samples read back from that: their number, peak, sum of sizes, sign changes and crc32.
+
+    A null file has only nulls; of what is no WAV file of a known format only size and sha256 are known.  A file without samples has empty
+    ones; of an ADPCM file whose data isn't whole blocks the whole blocks are decoded, the payload is all of it.  Null
+    ids and repeated rows each get their row; other columns are not read.  An empty table gives an empty result."""
+    rows = media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media")
+    return rows.mapInArrow(lambda batches: _describe(batches, to_rate), _DESCRIBED)

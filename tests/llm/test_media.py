@@ -86,19 +86,49 @@ def test_not_audio(spark):
     assert [got[i] for i in (1, 2, 3, 5)] == [None] * 4 and M.parse_wav(bytes(got[4]))[3] == 0
 
 
+def brute_feature(media, to_rate=16000):
+    """Samples one by one, as the header says."""
+    tag, rate, at, n = M.parse_wav(media)
+    body = media[at : at + n]
+    if tag == M.IMA_ADPCM:
+        line = [x for i in range(0, n - 63, 64) for x in brute_adpcm(body[i : i + 64])]
+    else:
+        line = [(brute_mulaw if tag == M.MULAW else brute_alaw)(b) for b in body]
+    line = brute_resample(line, rate, to_rate)
+    turns = sum((a < 0) != (b < 0) for a, b in zip(line, line[1:]))
+    raw = np.array(line, "<i2").tobytes()
+    return f"{len(line)}:{max(map(abs, line), default=0)}:{sum(map(abs, line))}:{turns}:{zlib.crc32(raw):08x}", M.wav(raw, M.PCM, to_rate)
+
+
 def test_describe(spark):
-    docs = spark.createDataFrame([(*t, "clash") for t in TEXTS], SCHEMA)
+    texts = TEXTS + [(10 + i, f"text number {i} " * (i + 1)) for i in range(12)]
+    docs = spark.createDataFrame([(*t, "clash") for t in texts], SCHEMA)
     got = M.describe(M.store_text(docs)).collect()
-    assert len(got) == len(TEXTS) and got[0].feature == got[5].feature != got[1].feature == got[2].feature
-    for row, (_, text) in zip(got, TEXTS, strict=True):
+    assert len(got) == len(texts) and got[0].feature == got[5].feature != got[1].feature == got[2].feature
+    tags = set()
+    for row, (_, text) in zip(got, texts, strict=True):
         raw = (text or "").encode()
         raw += bytes(max(-(-len(raw) // 64), 1) * 64 - len(raw))
         assert (row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
-        wav = M.wav(raw, M.MULAW)
+        tag = (M.MULAW, M.ALAW, M.IMA_ADPCM)[zlib.crc32(raw) % 3]
+        tags.add(tag)
+        wav = M.wav(raw, tag)
         assert (row.media_bytes, row.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest())
-        line = brute_resample([brute_mulaw(b) for b in raw], 8000, 16000)
-        n, peak, total, _, crc = row.feature.split(";")[0].split("=")[1].split(":")
-        assert (int(n), int(peak), int(total)) == (len(line), max(map(abs, line)), sum(map(abs, line))) and int(crc, 16) == zlib.crc32(np.array(line, "<i2").tobytes())
+        line, pcm = brute_feature(wav)
+        assert row.feature.split("=")[1] == line and (row.pcm_bytes, row.pcm_sha256) == (len(pcm), hashlib.sha256(pcm).hexdigest())
+    assert len(tags) == 3
+
+
+def test_files_are_read_as_their_headers_say(spark):
+    data = bytes(range(256)) + b"odd"
+    files = [M.wav(data, tag) for tag in (M.MULAW, M.ALAW, M.IMA_ADPCM)] + [M.wav(data, M.MULAW, 11025), M.wav(b"", M.ALAW)]
+    rows = [(i, 0, f) for i, f in enumerate(files)] + [(7, 0, None), (8, 0, b"no audio"), (9, 0, M.wav(data, 85)), (None, None, files[0]), (0, 0, files[0])]
+    got = M.describe(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()
+    for row, (_, _, media) in zip(got, rows, strict=True):
+        if media is None or M.parse_wav(media)[0] not in (M.MULAW, M.ALAW, M.IMA_ADPCM):
+            assert row.feature is None and row.payload_bytes is None and row.pcm_bytes is None and row.media_bytes == (None if media is None else len(media))
+            continue
+        assert row.feature.split("=")[1] == brute_feature(media)[0] and row.payload_bytes == M.parse_wav(media)[3]
 
 
 def test_empty(spark):
