@@ -234,26 +234,24 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
 
 
 def scores(model: Model, block: T.Block) -> np.ndarray:
+    """Score of each document; 0 without words."""
     found, first = features(block, model.settings.bits)
-    return X.sigmoid(_sums(model.weights[found].sum(axis=1, dtype=np.float64), first) + model.bias)
+    return (np.diff(first) > 0) * X.sigmoid(_sums(model.weights[found].sum(axis=1, dtype=np.float64), first) + model.bias)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        score, weak = [], []
-        for block in T.blocks(batch.column("text")):
-            score.append(np.where(np.diff(block.words()[2]) > 0, scores(model, block), 0.0))
-            weak.append(model.labels.posterior(votes(block)))
-        score, weak = (np.concatenate(x) if x else np.zeros(0) for x in (score, weak))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(weak), pa.array(score >= 0.5)], names=["doc_id", "score", "weak_label", "kept"])
+        parts = [scores(model, block) for block in T.blocks(batch.column("text"))]
+        score = np.concatenate(parts) if parts else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(score >= 0.5)], names=["doc_id", "score", "kept"])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id long, score double (0 to 1, higher: better), weak_label double (the label
-    model's posterior), kept boolean (score from 0.5).
+    """One row per row of `docs`: doc_id long, score double (0 to 1, higher: better), kept boolean (score from 0.5).
+    The labellers vote on every text once, for the label model; here the trained scorer alone speaks.
 
     Null and empty texts and texts without words score 0 and aren't kept.  Null ids and repeated rows
     each get their row; only id and text are read.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _predict(batches, model), "doc_id long, score double, weak_label double, kept boolean")
+    return rows.mapInArrow(lambda batches: _predict(batches, model), "doc_id long, score double, kept boolean")
