@@ -2,7 +2,9 @@
 
 A logistic model over the presence of words and word stems.  Beside the loss on labels it pays
 for the change of its score when the identity terms of a labelled text are swapped for others of
-their kind, so weight that a mere group mention would get moves to the words that go with either.
+their kind, so weight that a mere group mention would get moves to the words that go with either.  Labelled
+texts without such terms get one put in, and pay for the change that makes and for that of the swap, so the
+penalty holds for every term and stem, however rare it is among the labelled texts.
 
 Features come by forward selection: the one that best explains what is left joins, and all
 weights are fitted anew, so a rare word that only rides along with a copied toxic text is not taken
@@ -125,6 +127,38 @@ def _matrix(rows: list[np.ndarray], columns: np.ndarray) -> tuple[np.ndarray, np
     return row[held], at[held]
 
 
+def counterfactuals(own: list[np.ndarray], other: list[np.ndarray | None], columns: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Row, column and sign of what features each pair of texts differs in, and the number of pairs: a text and the same with its
+    terms swapped; of a text without terms, with one put in and without, and with it and with the next of its kind."""
+    rows, cols, signs = [], [], []
+    n = 0
+
+    def differ(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal n
+        for sign, x, y in ((1.0, a, b), (-1.0, b, a)):
+            more = np.setdiff1d(x, y)
+            rows.append(np.full(len(more), n))
+            cols.append(more)
+            signs.append(np.full(len(more), sign))
+        n += 1
+
+    def among(x: np.ndarray) -> np.ndarray:
+        return _matrix([np.unique(x[x > 0])], columns)[1]
+
+    terms = [(among(_word_features(w, s.stems)), among(_word_features(kind[(i + 1) % len(kind)], s.stems))) for kind in IDENTITY_TERMS for i, w in enumerate(kind)]
+    for i, (mine, turned) in enumerate(zip(own, other, strict=True)):
+        if turned is not None:
+            differ(among(mine), among(turned))
+            continue
+        term, swap = terms[i % len(terms)]
+        if len(term) or len(swap):
+            mine = among(mine)
+            differ(np.union1d(mine, term), mine)
+            differ(np.union1d(mine, term), np.union1d(mine, swap))
+    none = np.zeros(0, dtype=np.int64)
+    return *(np.concatenate([none, *x]).astype(k) for x, k in ((rows, np.int64), (cols, np.int64), (signs, float))), n
+
+
 def train(own: list[np.ndarray], other: list[np.ndarray | None], label: np.ndarray, s: Settings) -> Model:
     """Forward selection with a fit of all weights after each feature, until none explains anything more."""
     none = np.zeros(0)
@@ -139,11 +173,10 @@ def train(own: list[np.ndarray], other: list[np.ndarray | None], label: np.ndarr
     order = np.argsort(col, kind="stable")
     row, first = row[order], np.searchsorted(col[order], np.arange(len(columns)))
     size = np.diff(np.append(first, len(row)))
-    swapped = [i for i, x in enumerate(other) if x is not None]
-    pair_own, pair_other = _matrix([own[i] for i in swapped], columns), _matrix([other[i] for i in swapped], columns)
-    weight = np.ones(len(y))  # as often as they come, so that 0.5 is the likelier label
+    pair_row, pair_col, pair_sign, pairs = counterfactuals(own, other, columns, s)
+    weight = np.ones(len(y))
     chosen: list[int] = []
-    dense, change = np.zeros((len(y), 0)), np.zeros((len(swapped), 0))
+    dense, change = np.zeros((len(y), 0)), np.zeros((pairs, 0))
     w = X.newton(dense, y, weight, s.ridge)
     while len(columns) and len(chosen) < s.features:
         left = weight * (y - X.sigmoid(dense @ w[:-1] + w[-1]))
@@ -155,9 +188,8 @@ def train(own: list[np.ndarray], other: list[np.ndarray | None], label: np.ndarr
         chosen.append(best)
         mine = np.zeros((len(y), 1))
         mine[row[first[best] : first[best] + size[best]]] = 1
-        moved = np.zeros((len(swapped), 1))
-        for sign, (r, c) in ((1, pair_own), (-1, pair_other)):
-            moved[r[c == best]] += sign
+        moved, here = np.zeros((pairs, 1)), pair_col == best
+        np.add.at(moved[:, 0], pair_row[here], pair_sign[here])
         dense, change = np.concatenate([dense, mine], axis=1), np.concatenate([change, moved], axis=1)
         w = X.newton(dense, y, weight, s.ridge, change, s.pull)
     order = np.argsort(columns[chosen]) if chosen else np.zeros(0, dtype=int)
@@ -168,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     """Learn from labelled rows that aren't held out; see Settings for the bounds.  Labels other than 0 and 1, null
     ids and null texts are left out."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out())
+    there = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
 
     def drawn(label: int, among: np.ndarray | None) -> pa.Table:
@@ -182,7 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     every, count = np.unique(np.concatenate([to(x) for x in toxic.column("own")] or [np.zeros(0, dtype=U64)]), return_counts=True)
     clean = drawn(0, every[count >= settings.least])
     parts = [(to(own), to(other) if other.is_valid else None, t) for table, t in ((toxic, 1), (clean, 0)) for own, other in zip(table.column("own"), table.column("other"), strict=True)]
-    return train([x for x, _, _ in parts], [x for _, x, _ in parts], np.array([t for _, _, t in parts], dtype=np.int64), settings)
+    model = train([x for x, _, _ in parts], [x for _, x, _ in parts], np.array([t for _, _, t in parts], dtype=np.int64), settings)
+    # the sample may have one label more often than it comes: back to how often they come, so that 0.5 is the likelier one
+    drawn_of = {t: min(there.get(t, 0), settings.rows) for t in (0, 1)}
+    shift = sum((1 if t else -1) * np.log(there[t] / drawn_of[t]) for t in (0, 1)) if all(drawn_of.values()) else 0.0
+    return Model(model.hashes, model.weights, model.bias + float(shift), settings)
 
 
 def scores(model: Model, block: T.Block) -> np.ndarray:
