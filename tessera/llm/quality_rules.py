@@ -1,9 +1,10 @@
 """Quality rules of documents, and a verdict on the hosts they come from.
 
-Each document is measured and held against base rules.  Failures are counted by host, each
-host's failure rate is shrunk towards all hosts' with a beta prior fitted to the hosts
-themselves (moments of the beta-binomial), and documents of hosts whose shrunk rate is over
-the limit are not kept, even where they pass themselves.
+Each document is measured and held against rules.  Failures are counted by host and rule.  Each host's
+failure rate of a rule is shrunk towards all hosts' with a beta prior fitted to the hosts
+themselves (moments of the beta-binomial), one for each rule, and the verdicts are joined back: documents of a host
+that mostly fails some rule are not kept, even where they pass themselves, and a document that fails a
+rule which alone says little is not kept where its host is known for such failures.
 """
 
 from __future__ import annotations
@@ -28,11 +29,24 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 @dataclass(frozen=True)
 class Limits:
-    """Fewest words; most percent of words in repeated 3-word windows; highest shrunk failure rate of a host."""
+    """Fewest words and most percent of words in repeated 3-word windows, of the base rules; highest shrunk failure rates of
+    a host: for its documents to stay, and for one that fails the rule itself to stay."""
 
     least_words: int = 50
     most_repeat_percent: int = 50
     most_host_rate: float = 0.5
+    known_rate: float = 0.02
+
+    def rules(self) -> dict[str, str]:
+        """Failures as SQL on MEASURES: the base rules, then those that alone say little."""
+        return {
+            "few_words": f"n_words < {self.least_words}", "repeats": f"100 * n_repeat_words > {self.most_repeat_percent} * n_words",
+            "symbols": "5 * n_symbols > n_words", "repeated_lines": "n_dup_lines > 4", "word_length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
+        }
+
+
+#: Rules that a document itself must not fail, whatever its host.
+BASE_RULES = ("few_words", "repeats")
 
 
 def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,36 +124,55 @@ def beta_prior(hosts: int, rows: float, failed: float, squares: float, spread: f
     return p * weight, (1 - p) * weight
 
 
-def host_rates(marked: DataFrame) -> DataFrame:
-    """(host, n_docs, n_failed, rate) of rows with `host` and `base_failed`; rows without a host have no say."""
-    by_host = marked.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
-    total = by_host.agg(F.count(F.lit(1)), F.sum(n), F.sum(f), F.sum(n * n), F.sum(f * f / n)).first()
-    a, b = beta_prior(total[0], *(x or 0.0 for x in total[1:]))
-    return by_host.withColumn("rate", (f + F.lit(a)) / (n + F.lit(a + b)))
+def host_rates(marked: DataFrame, rules: tuple[str, ...]) -> DataFrame:
+    """(host, n_docs, n_failed_<rule>, rate_<rule>) of rows with `host` and a boolean column for each rule; rows without a host have no say."""
+    by_host = marked.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(F.col(r).cast("long")).alias(f"n_failed_{r}") for r in rules])
+    n = F.col("n_docs").cast("double")
+    sums = [x for r in rules for f in [F.col(f"n_failed_{r}").cast("double")] for x in (F.sum(f), F.sum(f * f / n))]
+    hosts, rows, squares, *found = by_host.agg(F.count(F.lit(1)), F.sum(n), F.sum(n * n), *sums).first()
+    for i, r in enumerate(rules):
+        a, b = beta_prior(hosts, rows or 0.0, found[2 * i] or 0.0, squares or 0.0, found[2 * i + 1] or 0.0)
+        by_host = by_host.withColumn(f"rate_{r}", (F.col(f"n_failed_{r}") + F.lit(a)) / (n + F.lit(a + b)))
+    return by_host
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source") -> DataFrame:
-    """One row per row of `docs`: doc_id, MEASURES (long), base_failed, kept (boolean), host, host_rate.
+    """One row per row of `docs`: doc_id, MEASURES (long), base_failed, kept (boolean), host, and rate_<rule> of the host.
 
     Words are `[^\\x20\\x09-\\x0D]+`; word_chars counts the code points in them, n_symbols the
     characters `#*$%&|<>`, n_dup_lines the \\n-split lines that have a word and equal an earlier
     line, n_repeat_words the words in 3-word windows that the text has twice or more.  Equality of
     lines and windows is that of 64-bit hashes inside one document.  Null and empty texts measure zero
-    and so fail.  A row without a host is judged by itself alone (host_rate null); null ids are kept,
+    and so fail.  A row is kept if it fails no base rule, no rate of its host is over `most_host_rate`, and it fails no other rule of which its
+    host's rate is over `known_rate`; a rate equal to a limit is not over it.  A row without a host is judged by the base rules alone (rates null); null ids are kept,
     repeated rows each count.  Other columns are not read.  An empty table gives an empty result.
     """
-    tables = Tables(docs.sparkSession, "quality")
-    failed = (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.most_repeat_percent * F.col("n_words"))
-    marked = tables.written(measured(docs, id_col, text_col, host).withColumn("base_failed", failed))
-    rates = tables.written(host_rates(marked))
-    joined = marked.join(rates.select("host", F.col("rate").alias("host_rate")), "host", "left")
-    kept = ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= limits.most_host_rate)
-    return joined.select("doc_id", *MEASURES, "base_failed", kept.alias("kept"), "host", "host_rate")
-
-
-#: DuckDB: what op6 returns, `kept` included.
-ORACLE = r"""
+    tables, rules = Tables(docs.sparkSession, "quality"), limits.rules()
+    found = measured(docs, id_col, text_col, host)
+    marked = tables.written(found.select("*", *[F.expr(x).alias(r) for r, x in rules.items()]))
+    rates = tables.written(host_rates(marked, tuple(rules)).select("host", *[f"rate_{r}" for r in rules]))
+    failed = F.lit(False)
+    for r in BASE_RULES:
+        failed = failed | F.col(r)
+    known = F.lit(False)
+    for r in rules:
+        rate = F.coalesce(f"rate_{r}", F.lit(0.0))
+        known = known | (rate > limits.most_host_rate) | (F.col(r) & (rate > limits.known_rate))
+    joined = marked.join(rates, "host", "left")
+    return joined.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & ~known).alias("kept"), "host", *[f"rate_{r}" for r in rules])
+
+
+def oracle(limits: Limits = Limits()) -> str:
+    """DuckDB: what op6 returns, `kept` included."""
+    rules = limits.rules()
+    prior = ", ".join(
+        f"CASE WHEN k < 2 OR f_{r} <= 0 OR f_{r} >= n THEN f_{r} + 0.5 ELSE f_{r} / n * (1 / rho_{r} - 1) END AS a_{r}, CASE WHEN k < 2 OR f_{r} <= 0 OR f_{r} >= n THEN n - f_{r} + 0.5 ELSE (1 - f_{r} / n) * (1 / rho_{r} - 1) END AS b_{r}" for r in rules
+    )
+    rho = ", ".join(
+        f"CASE WHEN k >= 2 AND f_{r} > 0 AND f_{r} < n THEN least(greatest(CASE WHEN n - sq / n - (k - 1) > 0 THEN (sp_{r} - f_{r} * f_{r} / n - f_{r} / n * (1 - f_{r} / n) * (k - 1)) / (f_{r} / n * (1 - f_{r} / n) * (n - sq / n - (k - 1))) ELSE 0 END, 1 / (n + 1)), 1 - 1e-9) END AS rho_{r}" for r in rules
+    )
+    known = " OR ".join(f"coalesce(rate_{r}, 0) > {limits.most_host_rate} OR ({r} AND coalesce(rate_{r}, 0) > {limits.known_rate})" for r in rules)
+    return rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
              list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
@@ -150,13 +183,12 @@ m AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(l
              CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN rep USING (r)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS f FROM f WHERE source IS NOT NULL GROUP BY source),
-s AS (SELECT count(*) AS k, sum(n) AS n, sum(f) AS f, sum(n * n) AS sq, sum(f * f / n) AS sp FROM h),
-rho AS (SELECT *, f / n AS p, least(greatest((sp - f * f / n - f / n * (1 - f / n) * (k - 1)) / (f / n * (1 - f / n) * (n - sq / n - (k - 1))), 1 / (n + 1)), 1 - 1e-9) AS rho FROM s),
-pr AS (SELECT p * (1 / rho - 1) AS a, (1 - p) * (1 / rho - 1) AS b FROM rho),
-v AS (SELECT source, (f + a) / (n + a + b) AS host_rate FROM h, pr)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(host_rate, 0) <= 0.5 AS kept
+f AS (SELECT *, {", ".join(f"{x} AS {r}" for r, x in rules.items())} FROM m),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(count(*) FILTER ({r}) AS DOUBLE) AS f_{r}" for r in rules)} FROM f WHERE source IS NOT NULL GROUP BY source),
+s AS (SELECT count(*) AS k, sum(n) AS n, sum(n * n) AS sq, {", ".join(f"sum(f_{r}) AS f_{r}, sum(f_{r} * f_{r} / n) AS sp_{r}" for r in rules)} FROM h),
+rho AS (SELECT *, {rho} FROM s),
+pr AS (SELECT {prior} FROM rho),
+v AS (SELECT source, {", ".join(f"(f_{r} + a_{r}) / (n + a_{r} + b_{r}) AS rate_{r}" for r in rules)} FROM h, pr)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {" OR ".join(BASE_RULES)} AS base_failed, NOT ({" OR ".join(BASE_RULES)}) AND NOT ({known}) AS kept
 FROM f LEFT JOIN v USING (source)
 """

@@ -65,7 +65,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe(media.store_text(_documents(spark, sf_dir), media.MULAW))
+    return media.describe(media.store_text(_documents(spark, sf_dir)))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_suffix_arrays": op2_suffix_arrays, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op7_mixing": op7_mixing, "op8_quality_classifier": op8_quality_classifier, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
-ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op6_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op6_quality_rules": quality_rules.oracle()}
