@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _features as X
 from tessera.llm import _text as T
-from tessera.llm._tables import Tables
+from tessera.llm._tables import Tables, without
 
 U64 = np.uint64
 LOG = logging.getLogger(__name__)
+#: How often targets that hang on what is left of the whole domain are set anew.
+RESCALED = 4
 
 
 @dataclass(frozen=True)
@@ -159,32 +161,31 @@ def posteriors(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def _rate(steps: list[list[float]], most: float | None) -> Column:
-    """A document's rate after the steps sent out: from 1, each step projected onto [0, most]."""
+    """A document's rate after the steps sent out: from 1, each step projected onto [least, most], `least` being its own."""
     d = len(steps[0]) if steps else 0
     at = F.lit(1.0)
     if steps:
         moves = F.array(*[F.array(*map(F.lit, s)) for s in steps])
         move = lambda s: sum((F.element_at(s, i + 1) * F.col(f"p{i}") for i in range(d)), F.lit(0.0))
         bound = (lambda x: F.least(x, F.lit(float(most)))) if most is not None else (lambda x: x)
-        at = F.aggregate(moves, F.lit(1.0), lambda r, s: bound(F.greatest(r - move(s), F.lit(0.0))))
+        at = F.aggregate(moves, F.lit(1.0), lambda r, s: bound(F.greatest(r - move(s), F.col("least"))))
     return at
 
 
-def projected_gradient(sums: Callable[[list[list[float]]], np.ndarray], size: np.ndarray, target: np.ndarray, rounds: int, tolerance: float) -> tuple[list[list[float]], np.ndarray]:
+def projected_gradient(sums: Callable[[list[list[float]]], np.ndarray], size: np.ndarray, target: np.ndarray, rounds: int, tolerance: float, start: tuple[list[list[float]], np.ndarray] | None = None) -> tuple[list[list[float]], np.ndarray]:
     """Steps that bring sums(steps), the expected tokens by domain at the rates so far, to `target`.
 
     The gradient of sum((tokens - target)^2 / size) / 2 for a document's rate, in the metric of its tokens, is
     probabilities @ (miss / size).  As a document's probabilities sum to 1 a step of length 1 never overshoots.
     """
-    steps: list[list[float]] = []
-    now = size.copy()
+    steps, now = (list(start[0]), start[1].copy()) if start else ([], size.copy())
     for _ in range(rounds):
         miss = now - target
         if np.all(np.abs(miss) <= tolerance * np.maximum(target, 1.0)):
             break
         steps.append((miss / np.maximum(size, 1e-12)).tolist())
         before, now = now, sums(steps)
-        if np.all(np.abs(now - before) <= tolerance / 10 * np.maximum(size, 1.0)):  # as near as rates >= 0 come
+        if np.all(np.abs(now - before) <= tolerance / 10 * np.maximum(size, 1.0)):  # as near as rates come
             break
     return steps, now
 
@@ -244,63 +245,80 @@ def target_tokens(size: np.ndarray, weights: np.ndarray, total: float | None, wh
     return weights * total
 
 
-def mix(docs: DataFrame, model: Model, weights: dict[str, float], total: float | None = None, spare: float = 1.0, most: float | None = None, whole: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, model: Model, weights: dict[str, float], total: float | None = None, most: float | None = None, whole: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id long, n_tokens long, domain string (the likeliest), p_<domain> double, rate double.
 
     rate >= 0 (and <= `most`, if given) is how often the document should be drawn.  weights are the domains' shares
-    of tokens to aim at, scaled to 1; domains that aren't named get none.  Targets are `spare` times those of
-    target_tokens(), in which `whole` names the domain to keep whole; domains with less than their share aren't held to any then.  Null and empty texts have no tokens and
+    of tokens to aim at, scaled to 1; domains that aren't named get none.  Targets are those of target_tokens().  With `whole`,
+    documents of that domain have a rate of 1 at least, as have those of domains with less than their share, and the other domains are
+    held to their shares of what these give.  Null and empty texts have no tokens and
     the rate of a document like the average.  Null ids and repeated rows each get their row; only id and
     text are read.  An empty table gives an empty result.
     """
     tables = Tables(docs.sparkSession, "mixing")
-    marked = tables.written(posteriors(docs, model, id_col, text_col))
-    d = len(model.domains)
+    posterior = tables.written(posteriors(docs, model, id_col, text_col))
+    d, n = len(model.domains), F.col("n_tokens")
+    likeliest = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position(F.array(*[f"p{i}" for i in range(d)]), F.greatest(*[f"p{i}" for i in range(d)]) if d > 1 else F.col("p0")).cast("int"))
+    size = np.array([x or 0.0 for x in posterior.agg(*[F.sum(n * F.col(f"p{i}")) for i in range(d)]).first()])
+    aim = np.array([weights.get(name, 0.0) for name in model.domains])
+    at = model.domains.index(whole) if whole in model.domains and total is None else None
+    at = None if at is None or not size[at] * aim[at] else at
+    target = target_tokens(size, aim, total, at)
+    free = target < size if at is not None else np.ones(d, dtype=bool)  # the others aren't thinned
+    kept = [F.lit(name) for name, x in zip(model.domains, free, strict=True) if not x]
+    marked = posterior.withColumn("domain", likeliest).withColumn("least", F.col("domain").isin(*kept).cast("double") if kept else F.lit(0.0))
 
     def sums(steps: list[list[float]]) -> np.ndarray:
-        rated = marked.select(*[f"p{i}" for i in range(d)], (_rate(steps, most) * F.col("n_tokens")).alias("t"))
+        rated = marked.select(*[f"p{i}" for i in range(d)], (_rate(steps, most) * n).alias("t"))
         return np.array([x or 0.0 for x in rated.agg(*[F.sum(F.col("t") * F.col(f"p{i}")) for i in range(d)]).first()])
 
     def moments(step: list[float]) -> tuple[float, np.ndarray, np.ndarray]:
         moved = F.lit(1.0) - sum((F.lit(s) * F.col(f"p{i}") for i, s in enumerate(step)), F.lit(0.0))
-        rate, n = _rate([step], most), F.col("n_tokens")
-        area = n * (rate * rate / 2 + rate * (moved - rate if most is not None else F.lit(0.0)) * (moved > rate).cast("int"))
-        free = n * ((moved > 0) & (moved < (float(most) if most is not None else float("inf")))).cast("int")
+        rate = _rate([step], most)
+        area = n * (rate * rate / 2 + rate * (moved - rate))
+        inside = n * ((moved > F.col("least")) & (moved < (float(most) if most is not None else float("inf")))).cast("int")
         pairs = [(i, j) for i in range(d) for j in range(i, d)]
-        rated = marked.select(area.alias("area"), *[(n * rate * F.col(f"p{i}")).alias(f"s{i}") for i in range(d)], *[(free * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i, j in pairs])
+        rated = marked.select(area.alias("area"), *[(n * rate * F.col(f"p{i}")).alias(f"s{i}") for i in range(d)], *[(inside * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i, j in pairs])
         found = np.array([x or 0.0 for x in rated.agg(*map(F.sum, rated.columns)).first()])
         hessian = np.zeros((d, d))
         for (i, j), x in zip(pairs, found[1 + d :], strict=True):
             hessian[i, j] = hessian[j, i] = x
         return float(found[0]), found[1 : 1 + d], hessian
 
-    def bound(now: np.ndarray) -> np.ndarray:
-        return np.where(scarce, target, now)  # no miss, so no step
+    def held(now: np.ndarray) -> np.ndarray:
+        return np.where(free, now, target)  # no miss, so no step
 
-    def bound_moments(step: list[float]) -> tuple[float, np.ndarray, np.ndarray]:
+    def held_moments(step: list[float]) -> tuple[float, np.ndarray, np.ndarray]:
         area, now, hessian = moments(step)
-        return area, bound(now), hessian * np.outer(~scarce, ~scarce)
-
-    size = sums([])
-    at = model.domains.index(whole) if whole in model.domains else None
-    least = target_tokens(size, np.array([weights.get(name, 0.0) for name in model.domains]), total, at)
-    scarce = (least >= size) & (np.arange(d) != at) if at is not None and total is None else np.zeros(d, dtype=bool)
-    target, tolerance = np.where(scarce, size, spare * least), model.settings.tolerance
-    steps, now = projected_gradient(lambda s: bound(sums(s)), size, target, model.settings.rounds, tolerance) if size.sum() else ([], size)
-    if size.sum() and not met(now, target, tolerance):
-        step, now, best = nearest_step(bound_moments, size, target, np.sum(steps, axis=0) if steps else np.zeros(d), tolerance)
-        steps = [step]
-        if not met(now, target, tolerance):
-            LOG.warning("targets are missed: %s", "rates come no nearer" if best else "rates didn't settle")
+        return area, held(now), hessian * np.outer(free, free)
+
+    tolerance, steps, now, best = model.settings.tolerance, [], size, True
+    for _ in range(RESCALED if at is not None else 1):
+        if at is not None:  # what thinned documents have of the whole domain is gone with them
+            target = np.where(free, target_tokens(np.where(np.arange(d) == at, now, size), aim, None, at), now)
+        if not size.sum() or met(held(now), target, tolerance):
+            break
+        steps, _ = projected_gradient(lambda s: held(sums(s)), size, target, model.settings.rounds, tolerance, (steps, held(now)))
+        now = sums(steps) if steps else size
+        if not met(held(now), target, tolerance):
+            step, _, best = nearest_step(held_moments, size, target, np.where(free, np.sum(steps, axis=0) if steps else 0.0, 0.0), tolerance)
+            steps = [step]
+            now = sums(steps)
+    if size.sum() and not met(held(now), target, 10 * tolerance):
+        LOG.warning("targets are missed: %s", "rates come no nearer" if best else "rates didn't settle")
     LOG.info("expected tokens and targets: %s", {name: (float(a), float(b)) for name, a, b in zip(model.domains, now, target, strict=True)})
-    likeliest = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position(F.array(*[f"p{i}" for i in range(d)]), F.greatest(*[f"p{i}" for i in range(d)]) if d > 1 else F.col("p0")).cast("int"))
-    return marked.select("doc_id", "n_tokens", likeliest.alias("domain"), *[F.col(f"p{i}").alias(f"p_{name}") for i, name in enumerate(model.domains)], _rate(steps, most).alias("rate"))
+    return marked.select("doc_id", "n_tokens", "domain", *[F.col(f"p{i}").alias(f"p_{name}") for i, name in enumerate(model.domains)], _rate(steps, most).alias("rate"))
 
 
-def drawn(docs: DataFrame, model: Model, weights: dict[str, float], total: float | None = None, spare: float = 1.0, whole: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of `docs`, all columns, each with the chance of its rate and at most once: a hash of the id decides, so
-    rows of one id go or stay together.  A rate of 1 or more always stays, as do rows with a null id."""
-    rates = mix(docs, model, weights, total, spare, None, whole, id_col, text_col).groupBy("doc_id").agg(F.max("rate").alias("rate"))
+def drawn(docs: DataFrame, model: Model, weights: dict[str, float], total: float | None = None, most: float | None = None, whole: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of `docs`, all columns, each as often as its rate says: the whole part of it, and once more with the chance of the rest.  A
+    hash of the id decides, so rows of one id fare alike (by the largest of their rates); rows with a null id stay once.  With `most` 1 no row
+    is repeated.  Columns may have any names.  An empty table gives an empty one."""
+    rates = mix(docs, model, weights, total, most, whole, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.max("rate").alias("rate"))
     luck = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mixing")), 11) / float(1 << 53)
-    gone = rates.where("doc_id is not null").where(luck >= F.col("rate")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    copies = rates.select("doc_id", (F.floor("rate") + (luck < F.col("rate") - F.floor("rate")).cast("long")).cast("int").alias("copies"))
+    own = F.col(id_col).cast("long")
+    if most is not None and most <= 1:
+        return without(docs, own, copies.where("copies = 0").select("doc_id"))
+    rows = docs.select(F.struct("*").alias("row"), own.alias("doc_id")).join(copies, "doc_id", "left")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1))))).select("row.*")

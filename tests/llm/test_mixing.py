@@ -83,12 +83,36 @@ def test_drawn(spark):
     rows, labels = corpus()
     docs, table = spark.createDataFrame([*rows, (None, "hello", "c", 1)], SCHEMA), spark.createDataFrame(labels, "doc_id long, kind string")
     model = M.fit(docs, table, "kind", SMALL)
-    kept = M.drawn(docs, model, {"news": 0.5, "code": 0.5}, spare=1.2)
+    weights = {"news": 0.5, "code": 0.5}
+    kept = M.drawn(docs, model, weights, total=20_000)
     assert kept.columns == docs.columns
     ids = [x.doc_id for x in kept.collect()]
-    likely = {x.doc_id: (x.domain, x.rate) for x in M.mix(docs, model, {"news": 0.5, "code": 0.5}, spare=1.2).collect()}
-    assert None in ids and all(d in ids for d, (_, rate) in likely.items() if rate >= 1) and not any(likely[d][1] == 0 for d in ids if d is not None)
-    assert sum(likely[d][0] == "chat" for d in ids if d is not None) < 0.3 * sum(k == "chat" for k, _ in likely.values())
+    rate = {x.doc_id: x.rate for x in M.mix(docs, model, weights, total=20_000).collect()}
+    assert ids.count(None) == 1 and max(rate.values()) > 1
+    assert all(int(rate[d]) <= ids.count(d) <= int(rate[d]) + 1 for d in rate if d is not None)
+    odd = docs.select("doc_id", "text", F.lit(1).alias("row"), F.lit(2).alias("__gone"), F.lit(3).alias("a.b"))
+    assert M.drawn(odd, model, weights).columns == odd.columns
+
+
+@pytest.mark.parametrize("way", [{"most": 1.0, "whole": "news"}, {"total": 60_000}])
+def test_realised_shares(spark, way):
+    """Tokens of the rows drawn, by the posteriors, stand to each other as the weights."""
+    r = random.Random(8)
+    kinds = r.choices(list(WORDS), weights=[6, 3, 2], k=1500)
+    rows = [(i, " ".join(r.choices(WORDS[k] + r.choices(sum(WORDS.values(), []), k=2), k=r.randint(5, 60))), "c", 1) for i, k in enumerate(kinds)]
+    docs, table = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, k) for i, k in enumerate(kinds)], "doc_id long, kind string")
+    model = M.fit(docs, table, "kind", M.Settings(rows=300, bits=12, steps=80))
+    weights = {"news": 0.7, "code": 0.2, "chat": 0.1}
+    found = {x.doc_id: x for x in M.mix(docs, model, weights, **way).collect()}
+    share = lambda ids: np.array([sum(found[d].n_tokens * found[d][f"p_{k}"] for d in ids) for k in weights])
+    expected = np.array([sum(x.rate * x.n_tokens * x[f"p_{k}"] for x in found.values()) for k in weights])
+    assert expected / expected.sum() == pytest.approx(list(weights.values()), abs=2e-3)
+    ids = [x.doc_id for x in M.drawn(docs, model, weights, **way).collect()]
+    assert share(ids) / share(ids).sum() == pytest.approx(list(weights.values()), abs=0.02)
+    if "whole" in way:
+        assert len(ids) == len(set(ids)) and all(x.rate == 1 for x in found.values() if x.domain == "news") and {d for d, x in found.items() if x.domain == "news"} <= set(ids)
+    else:
+        assert share(ids).sum() == pytest.approx(60_000, rel=0.05) and len(ids) > len(set(ids))
 
 
 @pytest.mark.parametrize("labels", [[], [(1, "x")], [(1, "x"), (2, "y")]])

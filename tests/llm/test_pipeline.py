@@ -4,8 +4,8 @@ import pytest
 
 import corpus_pipeline as P
 from tessera.llm import langid, mixing, queries
+from tests.llm.test_near_copies import brute_kept
 from tests.llm.test_packing import brute_best_fit, expected_ids
-from tests.llm.test_simhash import brute_components, brute_fingerprint
 from tests.llm.test_suffixes import brute_cut
 
 pytest.importorskip("public_tokenizers")
@@ -52,15 +52,17 @@ def test_each_stage_against_brute_force(spark, sf, tmp_path):
             want = {p.doc_id for p in langid.predict(docs, model).collect() if p.lang_pred != "und" and p.score >= P.LEAST_LANGUAGE}
             assert set(texts) == want and not {400, 401, 402} & want
         if name == "simhash_near_dedup":
-            parts = brute_components([(d, brute_fingerprint(t, P.SHINGLE_WORDS)) for d, t in before])
-            assert set(texts) == {d for d, _, c in parts if d is None or d == c} and not any(d and d >= 300 for d in texts)
+            parts = brute_kept([(d, t) for d, t in before if d is not None])
+            assert set(texts) - {None} == parts and (None in texts) == (None in dict(before)) and not any(d and d >= 300 for d in texts)
         if name == "suffix_array_dedup":
-            want = brute_cut([(d, t) for d, t in before], 50) | ({None: dict(before)[None]} if None in dict(before) else {})
+            want = dict(brute_cut([(d, t) for d, t in before], 50)) | ({None: dict(before)[None]} if None in dict(before) else {})
             assert texts == want and texts != dict(before)
         if name == "mixing":
             model = mixing.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), queries.F.expr(queries.DOMAIN))
-            rates = {r.doc_id: r.rate for r in mixing.mix(docs, model, P.TARGETS, spare=P.SPARE).collect()}
-            assert {d for d, rate in rates.items() if rate >= 1} <= set(texts) < set(dict(before)) and not any(rates[d] == 0 for d in texts if d is not None)
+            found = {r.doc_id: r for r in mixing.mix(docs, model, queries.TARGETS, most=1.0, whole="clean").collect()}
+            rates = {d: r.rate for d, r in found.items()}
+            assert max(rates.values()) <= 1 and {d for d, rate in rates.items() if rate == 1} <= set(texts) < set(dict(before)) and not any(rates[d] == 0 for d in texts if d is not None)
+            assert {d for d, r in found.items() if r.domain == "clean"} <= set(texts)
         if name == "best_fit_packing":
             of = expected_ids()
             sizes = [len(of(t or "")) + 1 for _, t in before]
