@@ -10,11 +10,12 @@ match of `words` words may reach around a suffix is its context, `window` - 1 wo
 right.  Suffixes with equal contexts match all through, whatever their number: they are kept as one representative, the
 first of them, and its members.  The representatives that still have different partners are sorted: by the hash of their
 first `seed` words, then word by word, then by the words to the left.  Ranges of that order, sampled by Spark, are the slices of the
-suffix array; left contexts are part of the key, so no passage, however common, has to stand in one slice.
+suffix array.  They are cut between seeds, but for a seed with more representatives than a slice should hold: that is cut by the
+words to the right and the left, so no passage, however common, has to stand in one slice.
 
 In a slice the common prefixes of neighbours (in words) say which suffixes share how much to the right.  Each is
 then extended to the left: those that share `words` - a words from here on and the a words before match in a window of
-`words` words, for every such window of which the suffix is the minimiser.  What touches an end of its slice may go on in the
+`words` words, for every such window of which the suffix is the minimiser.  What of a cut seed touches an end of its slice may go on in the
 next one; such windows are settled by an aggregate over the slices.  The result is exact: all windows of `words`
 words that stand twice, and the first place of each.
 """
@@ -148,9 +149,9 @@ def _contexts(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Rec
             place = own + first[doc]
             low, high = _context_ends(place, doc, first, s)
             at = pa.array(doc + block.lo)
-            columns = [flat.field("seed"), flat.field("context"), batch.column("doc_id").take(at), batch.column("digest").take(at), *(flat.field(c) for c in ("place", "after", "before", "shared"))]
+            columns = [flat.field("seed"), flat.field("context"), batch.column("doc_id").take(at), batch.column("digest").take(at), *(flat.field(c) for c in ("place", "after", "before", "shared", "large"))]
             columns += [_padded(words, place, 1, high - place, s.words), _padded(words, place - 1, -1, place - low, s.window - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["seed", "context", "doc_id", "digest", "place", "after", "before", "shared", "right", "left"])
+            yield pa.RecordBatch.from_arrays(columns, names=["seed", "context", "doc_id", "digest", "place", "after", "before", "shared", "large", "right", "left"])
 
 
 _MATCHED = "context long, from int, to int, doc_id long, digest long, place int, shared boolean, key long"
@@ -185,7 +186,7 @@ def _slice(rows: pa.Table, s: Settings) -> pa.RecordBatch:
     rows, context = rows.filter(pa.array(new)), context[new]
     number = lambda c: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)
     right, left = _grid(rows.column("right"), s.words), _grid(rows.column("left"), s.window - 1)
-    doc, digest, place, shared, after, before = (number(c) for c in ("doc_id", "digest", "place", "shared", "after", "before"))
+    doc, digest, place, shared, large, after, before = (number(c) for c in ("doc_id", "digest", "place", "shared", "large", "after", "before"))
     order = np.lexsort((place, digest, doc))
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
@@ -199,7 +200,7 @@ def _slice(rows: pa.Table, s: Settings) -> pa.RecordBatch:
         own = np.flatnonzero((after <= a) & (a <= before))
         if not len(own):
             continue
-        edge = (from_first[own] >= need) | (to_last[own] >= need)
+        edge = large[own] & ((from_first[own] >= need) | (to_last[own] >= need))
         if edge.any():
             at = own[edge]
             open_.append((at, a, T.mix(to_right[need][at] ^ T.mix(to_left[a][at] + U64(a)))))
@@ -262,14 +263,13 @@ def shared_windows(docs: DataFrame, settings: Settings = Settings(), id_col: str
     met, met_path = tables.write(found.join(seeds, "seed"))
     tables.drop(found_path)
     groups = tables.written(met.groupBy("seed", "context").agg(F.min(F.struct("doc_id", "digest", "place")).alias("one"), (F.min(here) < F.max(here)).alias("shared"), F.min("after").alias("after"), F.min("before").alias("before")))
-    several = tables.written(groups.groupBy("seed").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("seed"))
-    mixed = groups.join(several, "seed", "left_semi")
-    wanted = mixed.groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.digest").alias("digest")).agg(F.collect_list(F.struct(F.col("one.place").alias("place"), "after", "before", "seed", "context", "shared")).alias("places"))
+    several = tables.written(groups.groupBy("seed").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("seed", (F.col("contexts") > SLICE_ROWS).alias("large")))
+    mixed = groups.join(several, "seed")
+    wanted = mixed.groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.digest").alias("digest")).agg(F.collect_list(F.struct(F.col("one.place").alias("place"), "after", "before", "seed", "context", "shared", "large")).alias("places"))
     lookup = _rows(docs, id_col, text_col).join(wanted, ["doc_id", "digest"]).select("doc_id", "digest", "text", "places")
-    ends = tables.written(lookup.mapInArrow(lambda batches: _contexts(batches, s), "seed long, context long, doc_id long, digest long, place int, after int, before int, shared boolean, right binary, left binary"))
-    order = ["seed", "right", "left", "context"]
-    slices = max(ends.count() // SLICE_ROWS + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    matched = tables.written(ends.repartitionByRange(slices, *order).sortWithinPartitions(*order).mapInArrow(lambda batches: _slices(batches, s), _MATCHED))
+    ends = tables.written(lookup.mapInArrow(lambda batches: _contexts(batches, s), "seed long, context long, doc_id long, digest long, place int, after int, before int, shared boolean, large boolean, right binary, left binary"))
+    cut = ["seed", *[F.when(F.col("large"), F.col(c)) for c in ("right", "left")]]
+    matched = tables.written(ends.repartitionByRange(ends.count() // SLICE_ROWS + 1, *cut).sortWithinPartitions("seed", "right", "left", "context").mapInArrow(lambda batches: _slices(batches, s), _MATCHED))
     low = ["low_doc", "low_digest", "low_place"]
     across = matched.where("key is not null")
     keys = tables.written(across.groupBy("key").agg(F.min(F.struct("doc_id", "digest", "place")).alias("low"), F.count(F.lit(1)).alias("n"), F.max("shared").alias("shared")).where("n > 1 or shared"))
