@@ -46,14 +46,24 @@ def mcc_risk(mcc: Column) -> Column:
     return F.coalesce(F.try_element_at(table, mcc), F.lit(UNKNOWN_RISK)).cast("float")
 
 
+def units(x: Column) -> Column:
+    """Hundred-millionths of a decimal as bigint, what is beyond cut off; null and negative numbers are 0."""
+    size = F.greatest(F.coalesce(x.try_cast("decimal(28,18)"), F.lit(0).cast("decimal(28,18)")), F.lit(0).cast("decimal(28,18)"))
+    return F.floor(size * F.lit(10**8)).cast("bigint")
+
+
+def from_units(u: Column) -> Column:
+    """SC-3: whole part and first eight decimals without zeros at the end, each rounded to single precision, and their sum."""
+    rest = F.pmod(u, F.lit(10**8))
+    part = F.when(rest == 0, single(0))
+    for n in range(7, -1, -1):  # zeros at the end
+        part = part.when(rest % 10**n == 0, (to_single(F.floor(rest / 10**n)) / single(10 ** (8 - n))).cast("float"))
+    return to_single(F.floor((u - rest) / 10**8)) + part
+
+
 def from_decimal(x: Column) -> Column:
-    """SC-3: whole part and first eight decimals, each rounded to single precision, and their sum; null and negative numbers are 0."""
-    size = F.greatest(F.coalesce(x, F.lit(0).cast("decimal(38,18)")), F.lit(0).cast("decimal(38,18)"))
-    whole = F.floor(size).cast("bigint")
-    eight = F.floor((size - whole) * F.lit(10**8)).cast("bigint").cast("string")
-    digits = F.rtrim(F.lpad(eight, 8, "0"), F.lit("0"))
-    part = to_single(F.coalesce(F.nullif(digits, F.lit("")).try_cast("int"), F.lit(0))) / F.pow(F.lit(10.0), F.length(digits)).cast("float")
-    return to_single(whole) + part.cast("float")
+    """SC-3 of a decimal."""
+    return from_units(units(x))
 
 
 def to_time(text: Column) -> Column:

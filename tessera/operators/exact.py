@@ -1,13 +1,13 @@
 """Exact k nearest neighbours, votes and scores.
 
-Two ways to the same rows.  `blocks` (the default) sends the queries, whose size is checked, to every partition of
-the references, where distances to a block of them are one matrix product and only the k best leave;
+Two ways to the same rows.  `blocks` (the default) sends queries of a checked size to every partition of
+the references, where distances of a block of either are one matrix product and only the k best leave;
 `columns` is one Catalyst plan with unrolled distances.  Ties go to the smaller reference id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,45 +16,114 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import squared_l2
+from tessera.sources.shared import Scratch
 
 K = 5
-#: Most bytes of queries sent to every executor at once; more queries go in several rounds.
+#: Most bytes of queries sent to every executor at once; more queries go in several rounds, one after another.
 QUERY_BYTES = 64 << 20
-#: References compared with all queries at once.
+#: Distances that a task holds at once (doubles), whatever the number of queries.
+PAIRS = 1 << 20
+#: References compared with queries at once.
 BLOCK_ROWS = 2048
 #: Largest sum of squared differences that doubles hold exactly.
 EXACT = 2**53
 
 _FOUND = "qid long, dist long, ref_id long, label int"
-
-
-def _best(queries: np.ndarray, qids: np.ndarray, batches: Iterator[pa.RecordBatch], k: int, skip_self: bool) -> Iterator[pa.RecordBatch]:
+#: A pair of query numbers and reference rows to be compared: all queries with all rows, or those that probe a cluster with its rows.
+Meet = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, slice]]]
+
+
+class Best:
+    """The k nearest references so far of every query."""
+
+    def __init__(self, queries: np.ndarray, qids: np.ndarray, k: int, skip_self: bool):
+        self.squares, self.qids, self.k, self.skip_self = (queries * queries).sum(axis=1), qids, k, skip_self
+        # with the squares of either side as two more dimensions a distance is one product
+        self.left = np.concatenate([-2 * queries, np.ones((len(qids), 1)), self.squares[:, None]], axis=1)
+        self.dist = np.full((len(qids), k), np.inf)
+        self.ref, self.label = np.zeros((len(qids), k), dtype=np.int64), np.zeros((len(qids), k), dtype=np.int32)
+
+    def meet(self, who: np.ndarray, v: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        """Queries `who` meet a few references."""
+        right = np.concatenate([v, (v * v).sum(axis=1)[:, None], np.ones((len(v), 1))], axis=1).T
+        step = max(1, PAIRS // max(len(v), 1))
+        for lo in range(0, len(who), step):
+            self._merge(who[lo : lo + step], right, ids, labels)
+
+    def _merge(self, who: np.ndarray, right: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        d = self.left[who] @ right
+        if self.skip_self:
+            d[self.qids[who][:, None] == ids] = np.inf
+        worst = self.dist[who, -1]
+        if d.shape[1] > self.k and (fresh := np.flatnonzero(np.isinf(worst))).size:
+            worst = worst.copy()
+            worst[fresh] = np.partition(d[fresh], self.k - 1, axis=1)[:, self.k - 1]
+        near = np.flatnonzero(d <= np.minimum(worst, np.finfo(float).max)[:, None])
+        if not len(near):
+            return
+        row, col = np.divmod(near, d.shape[1])
+        some = np.unique(row)
+        own = who[some]
+        at = np.concatenate([np.searchsorted(some, row), np.repeat(np.arange(len(some)), self.k)])
+        dist, ref, label = (np.concatenate([new, old[own].ravel()]) for new, old in ((d.ravel()[near], self.dist), (ids[col], self.ref), (labels[col], self.label)))
+        order = np.lexsort((ref, dist, at))
+        first = np.searchsorted(at[order], np.arange(len(some)))
+        pick = order[first[:, None] + np.arange(self.k)]  # each has k old ones at least
+        self.dist[own], self.ref[own], self.label[own] = dist[pick], ref[pick], label[pick]
+
+    def rows(self) -> pa.RecordBatch:
+        row, col = np.nonzero(np.isfinite(self.dist))
+        return pa.RecordBatch.from_arrays([pa.array(self.qids[row]), pa.array(self.dist[row, col].astype(np.int64)), pa.array(self.ref[row, col]), pa.array(self.label[row, col])], names=["qid", "dist", "ref_id", "label"])
+
+
+def _best(queries: np.ndarray, qids: np.ndarray, batches: Iterator[pa.RecordBatch], k: int, skip_self: bool, meet: Meet) -> Iterator[pa.RecordBatch]:
     """The k nearest references of this partition for every query."""
-    squares = (queries * queries).sum(axis=1)
-    dist = np.empty((len(qids), 0))
-    ref = np.empty((len(qids), 0), dtype=np.int64)
-    label = np.empty((len(qids), 0), dtype=np.int32)
+    best = Best(queries, qids, k, skip_self)
     for batch in batches:
         flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, queries.shape[1])
-        ids, marks = batch.column("ref_id").to_numpy(), batch.column("label").to_numpy(zero_copy_only=False)
-        for lo in range(0, len(ids), BLOCK_ROWS):
-            part, own = flat[lo : lo + BLOCK_ROWS], ids[lo : lo + BLOCK_ROWS]
-            d = squares[:, None] - 2 * (queries @ part.T) + (part * part).sum(axis=1)
-            if skip_self:
-                d[qids[:, None] == own] = np.inf
-            dist, ref = np.concatenate([dist, d], axis=1), np.concatenate([ref, np.broadcast_to(own, d.shape)], axis=1)
-            label = np.concatenate([label, np.broadcast_to(marks[lo : lo + BLOCK_ROWS], d.shape)], axis=1)
-            order = np.lexsort((ref, dist), axis=1)[:, :k]
-            dist, ref, label = (np.take_along_axis(x, order, axis=1) for x in (dist, ref, label))
-    row, col = np.nonzero(np.isfinite(dist))
-    yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(dist[row, col].astype(np.int64)), pa.array(ref[row, col]), pa.array(label[row, col].astype(np.int32))], names=["qid", "dist", "ref_id", "label"])
-
-
-def _ranked(found: DataFrame, k: int) -> DataFrame:
+        ids, labels = batch.column("ref_id").to_numpy(), batch.column("label").to_numpy(zero_copy_only=False).astype(np.int32)
+        for who, rows in meet(batch):
+            for lo in range(rows.start, rows.stop, BLOCK_ROWS):
+                part = slice(lo, min(lo + BLOCK_ROWS, rows.stop))
+                best.meet(who, flat[part], ids[part], labels[part])
+    yield best.rows()
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, ref_id, dist, label) of the k nearest of what was found for each query."""
     near = W.partitionBy("qid").orderBy("dist", "ref_id")
     return found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("qid", "rank", "ref_id", "dist", "label")
 
 
+def rows_a_round(dims: int) -> int:
+    return max(1, QUERY_BYTES // (8 * (dims + 1)))
+
+
+def in_rounds(queries: DataFrame, dims: int, name: str, one: Callable[[DataFrame, pa.Table], DataFrame]) -> DataFrame:
+    """The rows that `one` finds for queries (qid, qv), of which a checked number goes at once.  Several rounds run one after another, each
+    written before the next one's queries are collected."""
+    most = rows_a_round(dims)
+    few = queries.limit(most + 1).toArrow()
+    if few.num_rows <= most:
+        return one(queries, few)
+    rounds = -(-queries.count() // most) + 1
+    path = Scratch.of(queries.sparkSession).folder(name)
+    for i in range(rounds):
+        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == i)
+        one(part, part.toArrow()).write.mode("append").parquet(path)
+    return queries.sparkSession.read.parquet(path)
+
+
+def matrix(rows: pa.Table, column: str, dims: int) -> np.ndarray:
+    """Vectors of a table, as doubles in which distances are exact."""
+    if not rows.num_rows:
+        return np.zeros((0, dims))
+    out = np.asarray(rows.combine_chunks().column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)).astype(np.float64).reshape(-1, dims)
+    if np.abs(out).max(initial=1) ** 2 * 4 * dims >= EXACT:
+        raise ValueError("values too large for exact distances")
+    return out
+
+
 def nearest(refs: DataFrame, queries: DataFrame, dims: int, k: int = K, skip_self: bool = False, way: str = "blocks") -> DataFrame:
     """KNN-4: (qid, rank, ref_id, dist, label) of the k nearest references (ref_id, v, label) of each query (qid, v).
 
@@ -62,24 +131,19 @@ def nearest(refs: DataFrame, queries: DataFrame, dims: int, k: int = K, skip_sel
     """
     refs = refs.select(F.col("ref_id").cast("long").alias("ref_id"), "v", F.col("label").cast("int").alias("label"))
     queries = queries.select(F.col("qid").cast("long").alias("qid"), F.col("v").alias("qv"))
-    n = queries.count()
-    rounds = max(1, -(-n * (dims + 1) * 8 // QUERY_BYTES))
-    parts = [queries] if rounds == 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == i) for i in range(rounds)]
-    found = None
-    for part in parts:  # each of a checked size
+
+    def one(part: DataFrame, rows: pa.Table) -> DataFrame:
         if way == "blocks":
-            rows = part.toArrow().combine_chunks()
-            matrix = np.asarray(rows.column("qv").combine_chunks().flatten().to_numpy(zero_copy_only=False)).astype(np.float64).reshape(-1, dims) if rows.num_rows else np.zeros((0, dims))
-            if np.abs(matrix).max(initial=1) ** 2 * 4 * dims >= EXACT:
-                raise ValueError("values too large for exact distances")
-            qids = rows.column("qid").to_numpy()
-            mine = refs.mapInArrow(lambda batches, m=matrix, q=qids: _best(m, q, batches, k, skip_self), _FOUND)
+            m, qids = matrix(rows, "qv", dims), rows.column("qid").to_numpy()
+            every = np.arange(len(qids))
+            found = refs.mapInArrow(lambda batches: _best(m, qids, batches, k, skip_self, lambda b: iter([(every, slice(0, b.num_rows))])), _FOUND)
         else:
-            pairs = refs.crossJoin(F.broadcast(part))
+            pairs = refs.crossJoin(F.broadcast(part))  # of the size that in_rounds() has checked
             pairs = pairs.where("qid <> ref_id") if skip_self else pairs
-            mine = pairs.select("qid", squared_l2("qv", "v", dims).alias("dist"), "ref_id", "label")
-        found = mine if found is None else found.unionByName(mine)
-    return _ranked(found, k)
+            found = pairs.select("qid", squared_l2("qv", "v", dims).alias("dist"), "ref_id", "label")
+        return ranked(found, k)
+
+    return in_rounds(queries, dims, "nearest", one)
 
 
 def vote(top: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:

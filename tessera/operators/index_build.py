@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import round_to_smallint
+from tessera.sources.shared import Scratch
 
 CLUSTERS, SAMPLE, ROUNDS, LANES, SEED = 4096, 50_000, 50, 8, 42
 #: Most centroids that are held in every task.
@@ -18,8 +19,8 @@ MOST_CLUSTERS = 65_536
 
 
 def sample(refs: DataFrame, rows: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """IVF-1: the same rows each time: those with the smallest hashes of id and seed."""
-    return refs.orderBy(F.xxhash64("ref_id", F.lit(seed)), "ref_id").limit(rows)
+    """IVF-1: the same rows each time: those with the smallest md5 of id and seed."""
+    return refs.orderBy(F.md5(F.concat_ws("-", F.col("ref_id").cast("string"), F.lit(str(seed)))), "ref_id").limit(rows)
 
 
 def _matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +121,36 @@ def boxes(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
 
 
 def cluster_order(assigned: DataFrame, lanes: int = LANES) -> DataFrame:
-    """IVF-9, IVF-10, IVF-13: block and lane of each vector in its cluster, the nearest to the centroid first."""
-    place = F.row_number().over(W.partitionBy("cluster_id").orderBy("dist", "ref_id")) - 1
-    return assigned.withColumn("place", place).select("cluster_id", "ref_id", F.floor(F.col("place") / lanes).cast("int").alias("block"), (F.col("place") % lanes).cast("int").alias("lane"))
+    """IVF-9, IVF-10, IVF-13: block and lane of each vector in its cluster, the nearest to the centroid first.  Vectors are dealt by range of
+    cluster and distance, so a hot cluster is split; places are counted in each range and go on from the ranges before."""
+    spark, path = assigned.sparkSession, Scratch.of(assigned.sparkSession).folder("order")
+    by = ["cluster_id", "dist", "ref_id"]
+    assigned.select(*by).repartitionByRange(*by).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    place = F.row_number().over(W.partitionBy("cluster_id", "part").orderBy("dist", "ref_id")) - 1
+    n = dealt.groupBy("cluster_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select("cluster_id", "part", (F.sum("n").over(W.partitionBy("cluster_id").orderBy("part")) - F.col("n")).alias("before"))
+    placed = dealt.withColumn("place", place).join(before, ["cluster_id", "part"]).withColumn("place", F.col("place") + F.col("before"))
+    return placed.select("cluster_id", "ref_id", F.floor(F.col("place") / lanes).cast("int").alias("block"), (F.col("place") % lanes).cast("int").alias("lane"))
+
+
+def lloyd(refs: DataFrame, centroids: DataFrame, dims: int, rounds: int) -> DataFrame:
+    """IVF-3: some rounds over all refs from given centroids, rounded after each; they are a bounded table, so each round starts from values."""
+    spark = refs.sparkSession
+    for _ in range(rounds):
+        moved = rounded(lloyd_step(refs, centroids, dims))
+        centroids = spark.createDataFrame(moved.orderBy("cluster_id").limit(MOST_CLUSTERS).collect(), "cluster_id int, centroid array<smallint>")
+    return centroids
+
+
+def train_ml(refs: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+    """IVF-2, IVF-3 by Spark's own KMeans, over all refs: (cluster_id, centroid array<double>)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = refs.select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
+    model = KMeans(k=clusters, maxIter=rounds, seed=seed, initMode="k-means||").fit(rows)
+    return refs.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster_id int, centroid array<double>")
 
 
 def cluster_table(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:

@@ -1,18 +1,25 @@
 """Search in the inverted-file index: probes, scan, repair.
 
 A repaired answer is exact: beside the probed clusters it scans every cluster whose box comes nearer
-than the worst neighbour so far.
+than the worst neighbour so far.  Queries and the clusters they probe go to the vectors, in rounds of a
+checked size: vectors stand by cluster, so a partition meets few queries, and a cluster that is split over many
+partitions is met in each of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import box_bound, squared_l2
-from tessera.operators.exact import K, vote
-from tessera.sources.shared import new_folder
+from tessera.operators.exact import _FOUND, K, _best, in_rounds, matrix, ranked, vote
+from tessera.operators.index_build import MOST_CLUSTERS
+from tessera.sources.shared import Scratch
 
 PROBES, MOST_PROBES, REPAIR_MIN, REPAIR_MAX = 12, 64, 1, 4
 #: A distance that none reaches: the threshold that is off.
@@ -27,32 +34,56 @@ def thresholds_from(text: str | None, size: int = K + 1) -> list[int]:
     return [int(x) if x.strip().isdigit() and int(x) <= OFF else OFF for x in items]
 
 
+def _few(clusters: DataFrame) -> DataFrame:
+    """A cluster table that may go to every task: its size is checked."""
+    if clusters.select("cluster_id").limit(MOST_CLUSTERS + 1).count() > MOST_CLUSTERS:
+        raise ValueError(f"over {MOST_CLUSTERS} clusters")
+    return F.broadcast(clusters)
+
+
 def probe(queries: DataFrame, clusters: DataFrame, dims: int, probes: int = PROBES) -> DataFrame:
     """KNN-2: (qid, qv, cluster_id) of the nearest centroids of each query; empty clusters take a place too.
     Centroids are a bounded table."""
     n = max(1, min(probes, MOST_PROBES))
-    pairs = queries.select("qid", F.col("v").alias("qv")).crossJoin(F.broadcast(clusters.select("cluster_id", "centroid")))
+    pairs = queries.select("qid", F.col("v").alias("qv")).crossJoin(_few(clusters.select("cluster_id", "centroid")))
     near = pairs.select("qid", "qv", "cluster_id", squared_l2("qv", "centroid", dims).alias("d"))
     rank = F.row_number().over(W.partitionBy("qid").orderBy("d", "cluster_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= n).select("qid", "qv", "cluster_id", "rank", "d")
 
 
-def _top(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("qid").orderBy("dist", "ref_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def scan(probed: DataFrame, vectors: DataFrame, dims: int, k: int = K, skip_self: bool = False) -> DataFrame:
-    """KNN-3, KNN-4: (qid, ref_id, dist, label, rank) of the k nearest in the probed clusters."""
-    pairs = probed.select("qid", "qv", "cluster_id").join(vectors.select("cluster_id", "ref_id", "v", "label"), "cluster_id")
-    pairs = pairs.where("qid <> ref_id") if skip_self else pairs
-    return _top(pairs.select("qid", "ref_id", squared_l2("qv", "v", dims).alias("dist"), F.col("label").cast("int").alias("label")), k)
+    """KNN-3, KNN-4: (qid, rank, ref_id, dist, label) of the k nearest in the probed clusters (qid, qv, cluster_id).  A query comes once
+    with its list of clusters; VEC-6 and KNN-5 have no place of their own, as a task only keeps what is nearer than its k nearest so far."""
+    refs = vectors.select("cluster_id", F.col("ref_id").cast("long").alias("ref_id"), "v", F.col("label").cast("int").alias("label"))
+    queries = probed.groupBy("qid").agg(F.first("qv").alias("qv"), F.collect_list("cluster_id").alias("clusters"))
+
+    def one(_: DataFrame, rows: pa.Table) -> DataFrame:
+        rows = rows.combine_chunks()
+        m, qids = matrix(rows, "qv", dims), rows.column("qid").to_numpy()
+        size = rows.column("clusters").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if rows.num_rows else np.zeros(0, dtype=np.int64)
+        cluster = rows.column("clusters").combine_chunks().flatten().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, dtype=np.int32)
+        order = np.argsort(cluster, kind="stable")
+        cluster, who = cluster[order], np.repeat(np.arange(len(qids)), size)[order]
+
+        def meet(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, slice]]:
+            own = batch.column("cluster_id").to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, dtype=np.int64)
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(own)], strict=False):
+                a, b = np.searchsorted(cluster, [own[lo], own[lo] + 1])
+                if a < b:
+                    yield who[a:b], slice(lo, hi)
+
+        wanted = [int(c) for c in np.unique(cluster)]
+        mine = refs.where(F.col("cluster_id").isin(wanted)) if len(wanted) <= 1000 else refs  # reaches the statistics of row groups
+        return ranked(mine.mapInArrow(lambda batches: _best(m, qids, batches, k, skip_self, meet), _FOUND), k)
+
+    return in_rounds(queries, dims + MOST_PROBES // 2, "scan", one)
 
 
 def bounds(queries: DataFrame, clusters: DataFrame, dims: int) -> DataFrame:
     """VEC-3: (qid, cluster_id, bound) of every query and filled cluster."""
     filled = clusters.where("cnt > 0").select("cluster_id", "bbox_min", "bbox_max")
-    return queries.select("qid", F.col("v").alias("qv")).crossJoin(F.broadcast(filled)).select("qid", "qv", "cluster_id", box_bound("qv", "bbox_min", "bbox_max", dims).alias("bound"))
+    return queries.select("qid", F.col("v").alias("qv")).crossJoin(_few(filled)).select("qid", "qv", "cluster_id", box_bound("qv", "bbox_min", "bbox_max", dims).alias("bound"))
 
 
 def needs_repair(voted: DataFrame, low: int = REPAIR_MIN, high: int = REPAIR_MAX, thresholds: list[int] | None = None) -> DataFrame:
@@ -72,16 +103,18 @@ def repair_candidates(queries: DataFrame, need: DataFrame, probed: DataFrame, cl
 
 def search(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dims: int, probes: int = PROBES, low: int = REPAIR_MIN, high: int = REPAIR_MAX, thresholds: list[int] | None = None, k: int = K, skip_self: bool = False, repair: bool = True) -> DataFrame:
     """(qid, fraud_count, found, worst).  Without `repair` this is the fast pass (KNN-9); with low 0 and high k it is exact."""
-    probed = probe(queries, clusters, dims, probes)
+    spark, scratch = queries.sparkSession, Scratch.of(queries.sparkSession)
+
+    def written(df: DataFrame) -> DataFrame:
+        path = scratch.folder("search")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    probed = written(probe(queries, clusters, dims, probes))  # a few rows for each query, read several times below
     first = scan(probed, vectors, dims, k, skip_self)
     if not repair:
         return vote(first, queries, k)
-    # the fast pass stands in three places below: its k rows for each query are written once
-    path = new_folder(queries.sparkSession, "search")
-    first.write.parquet(path)
-    first = queries.sparkSession.read.parquet(path)
-    voted = vote(first, queries, k)
-    need = needs_repair(voted, low, high, thresholds)
-    more = scan(repair_candidates(queries, need, probed, clusters, dims), vectors, dims, k, skip_self)
-    both = first.drop("rank").unionByName(more.drop("rank"))
-    return vote(_top(both, k), queries, k)
+    first = written(first)
+    need = needs_repair(vote(first, queries, k), low, high, thresholds)
+    more = scan(written(repair_candidates(queries, need, probed, clusters, dims).select("qid", "qv", "cluster_id")), vectors, dims, k, skip_self)
+    return vote(ranked(first.drop("rank").unionByName(more.drop("rank")), k), queries, k)

@@ -12,8 +12,8 @@ from tessera.functions.features import features, mcc_risk, with_vector
 from tessera.functions.vectors import fraud_score, quantize, score_body, squared_l2
 from tessera.operators import evaluate, exact, index_build, index_search
 from tessera.plans import views as V
-from tessera.sources import http, index, payloads
-from tessera.sources.shared import new_folder
+from tessera.sources import http, payloads
+from tessera.sources.shared import Scratch
 from tessera.streaming import scorer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,10 +47,11 @@ def quantize_embeddings(spark, sf_dir):
     return e.select("vec_id", "dim", quantize(F.col("x")).cast("int").alias("value"))
 
 
-@query(f"WITH {V.SQL_REFS} SELECT a.qid, b.ref_id, {V.sql_l2('a.v', 'b.v')} AS dist FROM qs AS a, refs AS b")
+@query(f"WITH {V.SQL_REFS} SELECT a.qid, b.ref_id, {V.sql_l2('a.v', 'b.v')} AS dist FROM qs AS a, refs AS b WHERE a.qid % 50 = 0")
 def l2_distance_pairs(spark, sf_dir):
-    q = V.query_set(spark, sf_dir).withColumnRenamed("v", "qv")
-    return V.refs(spark, sf_dir).crossJoin(F.broadcast(q)).select("qid", "ref_id", squared_l2("qv", "v", V.DIMS).alias("dist"))
+    q = V.query_set(spark, sf_dir).where("qid % 50 = 0").withColumnRenamed("v", "qv")
+    rounds = exact.in_rounds(q, V.DIMS, "pairs", lambda part, _: V.refs(spark, sf_dir).crossJoin(F.broadcast(part)).select("qid", "ref_id", squared_l2("qv", "v", V.DIMS).alias("dist")))
+    return rounds
 
 
 # SRC-3, FEAT, SC-1..10
@@ -109,16 +110,26 @@ def score_response(spark, sf_dir):
 # IVF-1 .. 13
 
 
-@query()
+@query(f"WITH {V.SQL_REFS} SELECT ref_id, label FROM refs ORDER BY md5(ref_id || '-{index_build.SEED}'), ref_id LIMIT {index_build.SAMPLE}")
 def sample_refs(spark, sf_dir):
-    return index_build.sample(V.refs(spark, sf_dir), rows=100).select("ref_id", "label")
+    return index_build.sample(V.refs(spark, sf_dir)).select("ref_id", "label")
 
 
-@query()
+@query(f"WITH {V.SQL_TRAIN} SELECT cluster_id, CAST(i - 1 AS INTEGER) AS dim, centroid[i] AS value FROM cent{V.ROUNDS}, range(1, {V.DIMS + 1}) AS t(i)")
 def train_centroids(spark, sf_dir):
+    return V.centroids(spark, sf_dir).select("cluster_id", F.posexplode("centroid").alias("dim", "x")).select("cluster_id", "dim", F.col("x").cast("int").alias("value"))
+
+
+@query()
+def train_seeded(spark, sf_dir):
     return index_build.rounded(index_build.train(V.refs(spark, sf_dir), V.DIMS, clusters=V.CLUSTERS, rounds=20))
 
 
+@query()
+def kmeans_ml(spark, sf_dir):
+    return index_build.rounded(index_build.train_ml(V.refs(spark, sf_dir), clusters=V.CLUSTERS, rounds=20))
+
+
 @query(f"WITH {V.SQL_INDEX} SELECT ref_id, cluster_id, dist FROM asg")
 def assign_clusters(spark, sf_dir):
     return V.index(spark, sf_dir)[1].select("ref_id", "cluster_id", F.col("dist").cast("long").alias("dist"))
@@ -145,27 +156,33 @@ def cluster_order(spark, sf_dir):
     return index_build.cluster_order(V.index(spark, sf_dir)[1])
 
 
-@query(f"WITH {V.SQL_INDEX} SELECT cluster_id, CAST(i - 1 AS INTEGER) AS dim, CAST(round(avg(v[i])) AS INTEGER) AS value FROM asg, range(1, 65) AS t(i) GROUP BY cluster_id, i")
+@query(f"WITH {V.SQL_TRAIN} SELECT cluster_id, CAST(i - 1 AS INTEGER) AS dim, centroid[i] AS value FROM cent1, range(1, {V.DIMS + 1}) AS t(i)")
 def lloyd_step(spark, sf_dir):
-    moved = index_build.rounded(index_build.lloyd_step(V.refs(spark, sf_dir), V.centroids(spark, sf_dir), V.DIMS))
+    moved = index_build.rounded(index_build.lloyd_step(V.refs(spark, sf_dir), V.first_centroids(spark, sf_dir), V.DIMS))
     return moved.select("cluster_id", F.posexplode("centroid").alias("dim", "x")).select("cluster_id", "dim", F.col("x").cast("int").alias("value"))
 
 
-@query(f"WITH {V.SQL_INDEX} SELECT cluster_id, cnt, CAST((SELECT count(*) FROM asg) AS BIGINT) AS n FROM cnts")
+@query(f"WITH {V.sql_tx(False)} SELECT cluster_id, cnt, CAST((SELECT count(*) FROM asg) AS BIGINT) AS n FROM cnts")
 def index_round_trip(spark, sf_dir):
-    path = new_folder(spark, "index")
-    clusters, assigned = V.index(spark, sf_dir)
-    index.write_index(path, clusters, assigned, V.DIMS)
-    clusters, vectors = index.read_index(spark, path, V.DIMS)
-    return clusters.select("cluster_id").join(vectors.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cnt")), "cluster_id").crossJoin(F.broadcast(spark.read.parquet(f"{path}/index_meta").select("n"))).select("cluster_id", "cnt", "n")
+    clusters, vectors = V.tx_index(spark, sf_dir)
+    n = vectors.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cnt"))
+    every = clusters.select("cluster_id").join(n, "cluster_id", "left").select("cluster_id", F.coalesce("cnt", F.lit(0).cast("long")).alias("cnt"))
+    return every.withColumn("n", F.lit(clusters.agg(F.sum("cnt")).first()[0]))
 
 
 # KNN-2, 3, 5, 7, 8, 9; VEC-3
 
 
-def _search(spark, sf_dir, **more):
-    clusters, vectors = V.index(spark, sf_dir)
-    return index_search.search(V.query_set(spark, sf_dir), clusters, vectors, V.DIMS, V.PROBES, skip_self=True, **more)
+def _requests(spark, sf_dir):
+    """(qid, v) of the requests that can be parsed, from their bodies."""
+    requests = V.tx_requests(spark, sf_dir).select(F.col("seq").alias("qid"), "body")
+    return with_vector(payloads.parse(requests, "body", "qid").where("parse_ok"), "qid")
+
+
+def _search(spark, sf_dir, queries=None, **more):
+    """Of requests in the written index over all transactions."""
+    clusters, vectors = V.tx_index(spark, sf_dir)
+    return index_search.search(queries if queries is not None else _requests(spark, sf_dir), clusters, vectors, FEATURES, V.TX_PROBES, **more)
 
 
 @query(f"WITH {V.SQL_INDEX} SELECT qid, cluster_id, d FROM probes")
@@ -178,130 +195,177 @@ def bbox_lower_bound(spark, sf_dir):
     return index_search.bounds(V.query_set(spark, sf_dir), V.index(spark, sf_dir)[0], V.DIMS).select("qid", "cluster_id", "bound")
 
 
-@query(f"WITH {V.SQL_INDEX} SELECT * FROM fvote")
+@query(f"WITH {V.sql_tx(False)} SELECT * FROM fvote")
 def ivf_fast_pass(spark, sf_dir):
     return _search(spark, sf_dir, repair=False)
 
 
-@query(f"WITH {V.SQL_INDEX}, {V.sql_repair(1, 4)} SELECT * FROM cand")
+@query(f"WITH {V.sql_tx(False)}, {V.sql_repair(1, 4)} SELECT * FROM cand")
 def repair_candidates(spark, sf_dir):
-    clusters, vectors = V.index(spark, sf_dir)
-    queries = V.query_set(spark, sf_dir)
-    probed = index_search.probe(queries, clusters, V.DIMS, V.PROBES)
-    need = index_search.needs_repair(exact.vote(index_search.scan(probed, vectors, V.DIMS, skip_self=True), queries))
-    return index_search.repair_candidates(queries, need, probed, clusters, V.DIMS).select("qid", "cluster_id", "bound")
+    clusters, vectors = V.tx_index(spark, sf_dir)
+    queries = _requests(spark, sf_dir)
+    probed = index_search.probe(queries, clusters, FEATURES, V.TX_PROBES)
+    need = index_search.needs_repair(exact.vote(index_search.scan(probed, vectors, FEATURES), queries))
+    return index_search.repair_candidates(queries, need, probed, clusters, FEATURES).select("qid", "cluster_id", "bound")
 
 
-@query(f"WITH {V.SQL_INDEX}, {V.sql_repair(1, 4)}, {V.SQL_VOTE} SELECT * FROM vote")
+@query(f"WITH {V.sql_tx(False)}, {V.sql_repair(1, 4)} SELECT * FROM vote")
 def ivf_default(spark, sf_dir):
     return _search(spark, sf_dir)
 
 
-@query(f"WITH {V.SQL_TOP}, {V.SQL_VOTE} SELECT * FROM vote")
+#: KNN-10: thresholds as they are given from outside: all unanimous answers whose fifth neighbour isn't near are looked at again.
+THRESHOLDS = "100000,4294967295,4294967295,4294967295,4294967295,1000"
+
+
+@query(f"WITH {V.sql_tx(False)}, {V.sql_repair(1, 4, tuple(map(int, THRESHOLDS.split(','))))} SELECT * FROM vote")
+def ivf_thresholds(spark, sf_dir):
+    return _search(spark, sf_dir, thresholds=index_search.thresholds_from(THRESHOLDS))
+
+
+@query(f"WITH {V.SQL_TX_EXACT} SELECT * FROM vote")
 def ivf_exact(spark, sf_dir):
     return _search(spark, sf_dir, low=0, high=5)
 
 
+@query(f"WITH {V.SQL_TX_EXACT} SELECT * FROM vote")
+def knn_exact_features(spark, sf_dir):
+    queries = _requests(spark, sf_dir)
+    return exact.vote(exact.nearest(V.tx_index(spark, sf_dir)[1], queries, FEATURES), queries)
+
+
 # EVL-1 .. 8
 
 
-def _replayed(spark, sf_dir):
-    return evaluate.replay(_search(spark, sf_dir, repair=False), V.expected(spark, sf_dir))
+def _replayed(spark, sf_dir, repair):
+    """Bodies through the features and the search; some can't be parsed."""
+    cases = V.cases(spark, sf_dir)
+    queries = with_vector(payloads.parse(cases, "body", "qid").where("parse_ok"), "qid")
+    return evaluate.replay(_search(spark, sf_dir, queries, repair=repair), cases.drop("body"))
+
+
+_SQL_REPAIRED = f"WITH {V.sql_tx(True)}, {V.sql_repair(1, 4)}, {V.sql_replayed('vote')}"
 
 
 @query(
-    f"WITH {V.SQL_INDEX}, {V.SQL_EXPECTED} SELECT count(*) AS total, CAST(0 AS BIGINT) AS parse_errors, count(*) FILTER (fraud_count = expected_count) AS exact_match, count(*) FILTER (approved = expected_approved) AS approve_match, "
+    f"{_SQL_REPAIRED} SELECT count(*) AS total, count(*) FILTER (NOT parsed) AS parse_errors, count(*) FILTER (fraud_count = expected_count) AS exact_match, count(*) FILTER (approved = expected_approved) AS approve_match, "
     "count(*) FILTER (NOT approved AND expected_approved) AS false_positives, count(*) FILTER (approved AND NOT expected_approved) AS false_negatives, "
     "count(*) FILTER (NOT approved AND expected_approved) + 3 * count(*) FILTER (approved AND NOT expected_approved) AS weighted_error, count(*) FILTER (approved <> expected_approved) = 0 AS passed FROM rep"
 )
 def confusion_report(spark, sf_dir):
-    return evaluate.report(_replayed(spark, sf_dir))
+    return evaluate.report(_replayed(spark, sf_dir, True))
 
 
-@query(f"WITH {V.SQL_INDEX}, {V.SQL_EXPECTED} SELECT CAST(i AS INTEGER) AS fraud_count, count(qid) AS n FROM range(0, 6) AS t(i) LEFT JOIN rep ON fraud_count = i GROUP BY i")
+@query(f"{_SQL_REPAIRED} SELECT CAST(i AS INTEGER) AS fraud_count, count(qid) AS n FROM range(0, 6) AS t(i) LEFT JOIN rep ON fraud_count = i GROUP BY i")
 def score_histogram(spark, sf_dir):
-    return evaluate.histogram(_replayed(spark, sf_dir))
+    return evaluate.histogram(_replayed(spark, sf_dir, True))
 
 
 @query(
-    f"WITH {V.SQL_INDEX}, {V.SQL_EXPECTED} SELECT CAST(i AS INTEGER) AS fraud_count, count(qid) AS total, count(*) FILTER (approved <> expected_approved) AS wrong, "
-    "least(coalesce(min(worst) FILTER (approved <> expected_approved), 4294967295), 4294967295) AS threshold FROM range(0, 6) AS t(i) LEFT JOIN rep ON fraud_count = i AND i IN (0, 5) GROUP BY i"
+    f"WITH {V.sql_tx(True)}, {V.sql_replayed('fvote')} SELECT CAST(i AS INTEGER) AS fraud_count, count(qid) AS total, count(qid) FILTER (approved <> expected_approved) AS wrong, "
+    "least(coalesce(min(worst) FILTER (approved <> expected_approved), 4294967295), 4294967295) AS threshold FROM range(0, 6) AS t(i) LEFT JOIN rep ON parsed AND fraud_count = i AND i IN (0, 5) GROUP BY i"
 )
 def tune_thresholds(spark, sf_dir):
-    return evaluate.tune(_replayed(spark, sf_dir))
+    return evaluate.tune(_replayed(spark, sf_dir, False))
+
+
+# SRC-1, 2, 4, 7; SC-16, 17; SNK-3; STR-7, 8, 10
 
 
-# SRC-1, 2, 4, 7; SC-16, 17; SNK-3
+def _objects(spark, sf_dir, vector, fraud):
+    """Labelled vectors of all embeddings as JSON texts; some are short."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    short = F.when(F.col("vec_id") % 7 == 0, 9).otherwise(F.size("embedding"))
+    values = F.transform(F.slice("embedding", F.lit(1), short), lambda x: F.round(x.cast("double"), 3))
+    return e.select(F.to_json(F.struct(values.alias(vector), fraud)).alias("text"))
 
-_REFERENCES = '[{"vector":[0.01,0.08,0.05,0.7,0.67,-1,-1,0.03,0.05,0,1,0,0.15,0.03],"label":"legit"},{"vector":[0.95,1.0,1.0,0.1,0.0,0.01,0.8,0.9,1.0,1,0,1,0.85,0.01],"label":"fraud"},{"vector":[0.5,0.5],"label":"fraud"}]'
 
+_SQL_ROWS = "SELECT CAST(round(CAST(greatest(-10000.0, least(10000.0, round(CAST(embedding[1] AS DOUBLE), 3) * 10000)) AS DOUBLE)) AS INTEGER) AS first, CAST(round(CAST(greatest(-10000.0, least(10000.0, round(CAST(embedding[14] AS DOUBLE), 3) * 10000)) AS DOUBLE)) AS INTEGER) AS last, CAST({} AS INTEGER) AS label, count(*) AS n FROM embeddings WHERE vec_id % 7 <> 0 GROUP BY ALL"
 
-@query("SELECT * FROM (VALUES (100, 10000, 0), (9500, 0, 1)) AS t(first, last_but, label)")
+
+def _ends(rows):
+    return rows.groupBy(F.get("v", F.lit(0)).cast("int").alias("first"), F.get("v", F.lit(13)).cast("int").alias("last"), F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_SQL_ROWS.format("label < 5"))
 def reference_rows(spark, sf_dir):
-    rows = spark.createDataFrame([(_REFERENCES,)], "text string").select(F.inline(F.from_json("text", f"array<struct<{payloads.REFERENCES.replace('vector ', 'vector: ').replace('label ', 'label: ')}>>")))
-    return payloads.labelled(rows).select(F.get("v", F.lit(0)).cast("int").alias("first"), F.get("v", F.lit(10)).cast("int").alias("last_but"), F.col("label").cast("int").alias("label"))
+    texts = _objects(spark, sf_dir, "vector", F.when(F.col("label") < 5, "fraud").otherwise("legit").alias("label"))
+    rows = texts.select(F.from_json("text", payloads.REFERENCES).alias("j")).select("j.*")
+    return _ends(payloads.labelled(rows))
 
 
-_REQUESTS = (
-    (1, "POST /fraud-score HTTP/1.1\r\nHost: x\r\nContent-Length: 5\r\n\r\nhello"), (2, "POST /fraud-score HTTP/1.1\r\nContent-Length: 10\r\n\r\nhi"), (3, "POST /fraud-score HTTP/1.1\r\nHost: x"),
-    (4, "GET /ready HTTP/1.1\r\nHost: x\r\n\r\n"), (5, "PUT / HTTP/1.1\r\n\r\n"), (6, "POST / HTTP/1.1\r\ncontent-length:3\r\n\r\nabcdef"),
-)
-_SQL_REQUESTS = ", ".join("({}, {})".format(i, " || ".join(f"'{x}'" for x in r.replace("\r\n", "\0").split("\0")).replace("' || '", "' || chr(13) || chr(10) || '")) for i, r in _REQUESTS)
+@query(_SQL_ROWS.format("label < 5 OR vec_id % 3 = 0"))
+def reference_objects(spark, sf_dir):
+    note = F.when(F.col("label") < 5, F.lit("a fraud")).when(F.col("vec_id") % 3 == 0, F.lit("not_fraudulent")).otherwise(F.lit("fine"))
+    return _ends(payloads.labelled_objects(_objects(spark, sf_dir, "any name", note.alias("note")), "text"))
 
 
-@query(
-    f"WITH r(id, raw) AS (VALUES {_SQL_REQUESTS}), p AS (SELECT id, raw, instr(raw, chr(13) || chr(10) || chr(13) || chr(10)) AS e FROM r), "
-    "q AS (SELECT *, coalesce(TRY_CAST(regexp_extract(substr(raw, 1, e + 3), '(?i)content-length: *([0-9]*)', 1) AS BIGINT), 0) AS n FROM p), "
-    "k AS (SELECT *, CASE WHEN e = 0 THEN 'incomplete' WHEN starts_with(raw, 'POST') AND length(raw) < e + 3 + n THEN 'incomplete' WHEN starts_with(raw, 'POST') THEN 'score' WHEN starts_with(raw, 'GET') THEN 'ready' ELSE 'bad' END AS kind FROM q) "
-    "SELECT CAST(id AS BIGINT) AS id, kind, CASE WHEN kind = 'score' THEN substr(raw, e + 4, n) END AS body, CAST(CASE kind WHEN 'incomplete' THEN 0 WHEN 'score' THEN e + 3 + n ELSE e + 3 END AS BIGINT) AS consumed FROM k"
+_PART_1, _PART_2, _PART_3, _END = V.raw_parts("strlen")
+_SQL_FRAMES = (
+    f"b AS (SELECT c_custkey AS conn_id, c_custkey % 4 AS kind_of_end, {V.BODY_1} AS body_1, {V.BODY_2} AS body_2, strlen({_PART_1}) AS n_1, strlen({_PART_2}) AS n_2, strlen({_PART_3}) AS n_3, strlen({V._PUT}) AS n_put, strlen({_END}) AS n_end FROM customer), "
+    "f AS (SELECT conn_id, 0 AS seq, 'score' AS kind, body_1 AS body, n_1 AS consumed FROM b UNION ALL SELECT conn_id, 1, 'ready', NULL, n_2 FROM b UNION ALL SELECT conn_id, 2, 'score', body_2, n_3 FROM b UNION ALL SELECT conn_id, 3, 'bad', NULL, n_put FROM b WHERE kind_of_end = 2)"
 )
+
+
+@query(f"WITH {_SQL_FRAMES} SELECT conn_id, CAST(seq AS INTEGER) AS seq, kind, body, CAST(consumed AS INTEGER) AS consumed FROM f")
 def http_frame(spark, sf_dir):
-    return http.frame(spark.createDataFrame(list(_REQUESTS), "id long, raw string"), "raw", "id")
+    return http.frame(V.connections(spark, sf_dir), "raw", "conn_id")
+
+
+@query(f"WITH {_SQL_FRAMES} SELECT conn_id, CAST(n_1 + n_2 + n_3 + CASE WHEN kind_of_end = 2 THEN n_put ELSE 0 END AS INTEGER) AS consumed, CAST(n_end - CASE WHEN kind_of_end = 2 THEN n_put ELSE 0 END AS INTEGER) AS left, kind_of_end = 2 AS closed FROM b")
+def http_remainder(spark, sf_dir):
+    return http.remainder(V.connections(spark, sf_dir), "raw", "conn_id").select("conn_id", "consumed", "left", "closed")
 
 
-@query(f"WITH r(id, raw) AS (VALUES {_SQL_REQUESTS}) SELECT CAST(id AS BIGINT) AS id, coalesce(TRY_CAST(regexp_extract(raw, '(?i)content-length: *([0-9]*)', 1) AS BIGINT), 0) AS n FROM r")
+@query(f"WITH {_SQL_FRAMES} SELECT conn_id, strlen(body_1) AS n FROM b")
 def content_length(spark, sf_dir):
-    return spark.createDataFrame(list(_REQUESTS), "id long, raw string").select("id", http.content_length(F.col("raw")).alias("n"))
+    return V.connections(spark, sf_dir).select("conn_id", http.content_length(F.col("raw")).alias("n"))
 
 
-# STR-2, 5, 7, 8, 9
+_OK, _LINES = "HTTP/1.1 200 OK", "chr(13) || chr(10)"
+_SQL_OK = f"'HTTP/1.1 200 OK' || {_LINES} || 'Content-Length: 2' || {_LINES} || 'Connection: keep-alive' || {_LINES} || {_LINES} || 'OK'"
+_SQL_400 = f"'HTTP/1.1 400 Bad Request' || {_LINES} || 'Content-Length: 0' || {_LINES} || 'Connection: close' || {_LINES} || {_LINES}"
+_SQL_JSON = f"'HTTP/1.1 200 OK' || {_LINES} || 'Content-Type: application/json' || {_LINES} || 'Connection: keep-alive' || {_LINES} || 'Content-Length: ' || strlen({{0}}) || {_LINES} || {_LINES} || {{0}}"
+_SQL_BODY = "format('{{\"approved\": {}, \"fraud_score\": {:.2f}}}', fraud_count <= 2, fraud_count / 5.0)"
+
 
+@query(f"WITH {_SQL_FRAMES} SELECT conn_id, CAST(seq AS INTEGER) AS seq, kind, CASE kind WHEN 'ready' THEN {_SQL_OK} WHEN 'bad' THEN {_SQL_400} ELSE {_SQL_JSON.format(_SQL_BODY.replace('fraud_count', '0'))} END AS response FROM f".replace("format('{\"", "format('{{\""))
+def http_serve(spark, sf_dir):
+    """No body here is a payload: all scores fail open."""
+    return scorer.serve(V.connections(spark, sf_dir), "raw", V.tx_index(spark, sf_dir)[1])
 
-def _tx_requests(spark, sf_dir):
-    """Payloads of the first line of each order, and the labelled vectors of second lines: two parts of one table."""
-    tx = V.tx(spark, sf_dir)
-    body = payloads.to_payload(tx.where("l_linenumber = 1 and l_orderkey % 50 = 0"), *V.KEYS).select(F.col("l_orderkey").alias("conn_id"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("seq"), "body")
-    refs = with_vector(tx.where("l_linenumber = 2"), "l_orderkey", "l_partkey", "l_suppkey", "is_online")
-    return body, refs.select((F.col("l_orderkey") * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("ref_id"), "v", F.col("is_online").cast("int").alias("label"))
+
+# STR-2, 5, 7, 8, 9
 
 
 _SQL_SCORES = (
-    f"WITH {V.SQL_FEATURES}, f AS (SELECT *, [{', '.join(_D)}] AS v FROM feat), "
-    "rq AS (SELECT l_orderkey AS conn_id, l_partkey * 100000 + l_suppkey AS seq, v FROM f WHERE l_linenumber = 1 AND l_orderkey % 50 = 0), "
-    "rf AS (SELECT l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey AS ref_id, v, CAST(d9 = 10000 AS INTEGER) AS label FROM f WHERE l_linenumber = 2), "
-    "pr AS (SELECT conn_id, seq, ref_id, label, list_sum(list_transform(range(1, 15), lambda i: CAST(q.v[i] - r.v[i] AS BIGINT) * (q.v[i] - r.v[i]))) AS dist FROM rq AS q, rf AS r), "
-    "tp AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY conn_id, seq ORDER BY dist, ref_id) <= 5), "
-    "vt AS (SELECT conn_id, seq, CAST(sum(label) AS INTEGER) AS fraud_count FROM tp GROUP BY ALL) "
-    "SELECT conn_id, seq, true AS parse_ok, fraud_count, fraud_count <= 2 AS approved, CAST(fraud_count / 5.0 AS DECIMAL(3, 2)) AS fraud_score, "
-    "format('{{\"approved\": {}, \"fraud_score\": {:.2f}}}', fraud_count <= 2, fraud_count / 5.0) AS response FROM vt"
+    f"WITH {V.SQL_TX_EXACT} SELECT l_orderkey AS conn_id, qid AS seq, true AS parse_ok, fraud_count, fraud_count <= 2 AS approved, CAST(fraud_count / 5.0 AS DECIMAL(3, 2)) AS fraud_score, {_SQL_BODY} AS response "
+    f"FROM vote JOIN (SELECT l_orderkey, {V.TX_ID} AS qid FROM feat) USING (qid)"
 )
 
 
 @query(_SQL_SCORES)
 def batch_score(spark, sf_dir):
-    requests, refs = _tx_requests(spark, sf_dir)
-    path = new_folder(spark, "requests")
-    requests.write.parquet(path)  # payloads as they would come from a source
-    return scorer.score(spark.read.parquet(path), refs)
+    return scorer.score(V.tx_requests(spark, sf_dir), V.tx_index(spark, sf_dir)[1])
 
 
-@query(_SQL_SCORES)
-def stream_score(spark, sf_dir):
-    path = new_folder(spark, "stream")
-    requests, refs = _tx_requests(spark, sf_dir)
-    requests.repartition(3).write.json(f"{path}/in")
-    running = scorer.stream(spark, f"{path}/in", refs, f"{path}/out", f"{path}/state", files=1)
+def _streamed(spark, sf_dir, again):
+    path = Scratch.of(spark).folder("stream")
+    V.tx_requests(spark, sf_dir).repartition(3).write.json(f"{path}/in")
+    if again:  # as a client that tries anew sends them
+        V.tx_requests(spark, sf_dir).where("seq % 3 = 0").coalesce(1).write.mode("append").json(f"{path}/in")
+    running = scorer.stream(spark, f"{path}/in", V.tx_index(spark, sf_dir)[1], f"{path}/out", f"{path}/state", files=2)
     running.awaitTermination()
     if running.exception():
         raise running.exception()
     return spark.read.parquet(f"{path}/out").drop("batch")
+
+
+@query(_SQL_SCORES)
+def stream_score(spark, sf_dir):
+    return _streamed(spark, sf_dir, False)
+
+
+@query(f"{_SQL_SCORES}, (SELECT unnest([1, 2]) AS time) WHERE time = 1 OR qid % 3 = 0")
+def stream_repeated(spark, sf_dir):
+    return _streamed(spark, sf_dir, True)
