@@ -179,10 +179,10 @@ def _requests(spark, sf_dir):
     return with_vector(payloads.parse(requests, "body", "qid").where("parse_ok"), "qid")
 
 
-def _search(spark, sf_dir, queries=None, **more):
+def _search(spark, sf_dir, queries=None, probes=V.TX_PROBES, **more):
     """Of requests in the written index over all transactions."""
     clusters, vectors = V.tx_index(spark, sf_dir)
-    return index_search.search(queries if queries is not None else _requests(spark, sf_dir), clusters, vectors, FEATURES, V.TX_PROBES, **more)
+    return index_search.search(queries if queries is not None else _requests(spark, sf_dir), clusters, vectors, FEATURES, probes, **more)
 
 
 @query(f"WITH {V.SQL_INDEX} SELECT qid, cluster_id, d FROM probes")
@@ -200,13 +200,13 @@ def ivf_fast_pass(spark, sf_dir):
     return _search(spark, sf_dir, repair=False)
 
 
-@query(f"WITH {V.sql_tx(False)}, {V.sql_repair(1, 4)} SELECT * FROM cand")
+@query(f"WITH {V.SQL_INDEX}, {V.sql_repair(1, 4, dims=V.DIMS, skip_self=True)} SELECT * FROM cand")
 def repair_candidates(spark, sf_dir):
-    clusters, vectors = V.tx_index(spark, sf_dir)
-    queries = _requests(spark, sf_dir)
-    probed = index_search.probe(queries, clusters, FEATURES, V.TX_PROBES)
-    need = index_search.needs_repair(exact.vote(index_search.scan(probed, vectors, FEATURES), queries))
-    return index_search.repair_candidates(queries, need, probed, clusters, FEATURES).select("qid", "cluster_id", "bound")
+    clusters, vectors = V.index(spark, sf_dir)
+    queries = V.query_set(spark, sf_dir)
+    probed = index_search.probe(queries, clusters, V.DIMS, V.PROBES)
+    need = index_search.needs_repair(exact.vote(index_search.scan(probed, vectors, V.DIMS, skip_self=True), queries))
+    return index_search.repair_candidates(queries, need, probed, clusters, V.DIMS).select("qid", "cluster_id", "bound")
 
 
 @query(f"WITH {V.sql_tx(False)}, {V.sql_repair(1, 4)} SELECT * FROM vote")
@@ -214,13 +214,20 @@ def ivf_default(spark, sf_dir):
     return _search(spark, sf_dir)
 
 
+@query(f"WITH {V.SQL_INDEX}, {V.sql_repair(1, 4, dims=V.DIMS, skip_self=True)} SELECT * FROM vote")
+def ivf_repaired(spark, sf_dir):
+    """Of embeddings, with so few probes of so many dimensions that repair has much to do."""
+    clusters, vectors = V.index(spark, sf_dir)
+    return index_search.search(V.query_set(spark, sf_dir), clusters, vectors, V.DIMS, V.PROBES, skip_self=True)
+
+
 #: KNN-10: thresholds as they are given from outside: all unanimous answers whose fifth neighbour isn't near are looked at again.
 THRESHOLDS = "100000,4294967295,4294967295,4294967295,4294967295,1000"
 
 
-@query(f"WITH {V.sql_tx(False)}, {V.sql_repair(1, 4, tuple(map(int, THRESHOLDS.split(','))))} SELECT * FROM vote")
+@query(f"WITH {V.sql_tx(False, 1)}, {V.sql_repair(1, 4, tuple(map(int, THRESHOLDS.split(','))))} SELECT * FROM vote")
 def ivf_thresholds(spark, sf_dir):
-    return _search(spark, sf_dir, thresholds=index_search.thresholds_from(THRESHOLDS))
+    return _search(spark, sf_dir, probes=1, thresholds=index_search.thresholds_from(THRESHOLDS))
 
 
 @query(f"WITH {V.SQL_TX_EXACT} SELECT * FROM vote")

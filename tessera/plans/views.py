@@ -234,17 +234,18 @@ want AS MATERIALIZED (SELECT ref_id AS qid, v, l_orderkey % {BROKEN} <> 0 AS par
 SQL_TX_CENT = f"SELECT CAST(row_number() OVER (ORDER BY md5(ref_id || '-42'), ref_id) - 1 AS INTEGER) AS cluster_id, v AS centroid FROM refs QUALIFY cluster_id < {TX_CLUSTERS}"
 
 
-def sql_tx(broken: bool) -> str:
+def sql_tx(broken: bool, probes: int = TX_PROBES) -> str:
     """CTEs of the search over transactions, by all requests or by those that can be parsed."""
     some = "WHERE parsed" if broken else ""
-    return f"{SQL_TX_REFS},\nqs AS MATERIALIZED (SELECT qid, v FROM want {some}),\n{_sql_lloyd('refs', SQL_TX_CENT, TX_ROUNDS, FEATURES)},\n{sql_search(FEATURES, f'cent{TX_ROUNDS}', TX_PROBES, False)}"
+    return f"{SQL_TX_REFS},\nqs AS MATERIALIZED (SELECT qid, v FROM want {some}),\n{_sql_lloyd('refs', SQL_TX_CENT, TX_ROUNDS, FEATURES)},\n{sql_search(FEATURES, f'cent{TX_ROUNDS}', probes, False)}"
 
 
-def sql_repair(low: int, high: int, thresholds: tuple[int, ...] = (4294967295,) * 6) -> str:
-    """CTEs cand, more, top and vote after sql_tx()."""
+def sql_repair(low: int, high: int, thresholds: tuple[int, ...] = (4294967295,) * 6, dims: int = FEATURES, skip_self: bool = False) -> str:
+    """CTEs cand, more, top and vote after sql_search()."""
+    other = "WHERE c.qid <> a.ref_id" if skip_self else ""
     return f"""cand AS MATERIALIZED (SELECT b.qid, b.cluster_id, b.bound FROM bound AS b JOIN fvote USING (qid) WHERE (fraud_count BETWEEN {low} AND {high} OR worst IS NULL OR worst >= ({list(thresholds)})[fraud_count + 1]) AND (worst IS NULL OR bound < worst)
   AND NOT EXISTS (SELECT 1 FROM probes AS p WHERE p.qid = b.qid AND p.cluster_id = b.cluster_id)),
-more AS (SELECT c.qid, min({{'dist': {sql_l2("q.v", "a.v", FEATURES)}, 'ref_id': a.ref_id, 'label': a.label}}, 5) AS t FROM cand AS c JOIN qs AS q ON q.qid = c.qid JOIN asg AS a ON a.cluster_id = c.cluster_id GROUP BY c.qid),
+more AS (SELECT c.qid, min({{'dist': {sql_l2("q.v", "a.v", dims)}, 'ref_id': a.ref_id, 'label': a.label}}, 5) AS t FROM cand AS c JOIN qs AS q ON q.qid = c.qid JOIN asg AS a ON a.cluster_id = c.cluster_id {other} GROUP BY c.qid),
 top AS (SELECT * FROM (SELECT * FROM first UNION ALL SELECT qid, t.dist, t.ref_id, t.label FROM (SELECT qid, unnest(t) AS t FROM more)) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, ref_id) <= 5),
 vote AS MATERIALIZED (SELECT qid, coalesce(CAST(sum(label) AS INTEGER), 0) AS fraud_count, CAST(count(ref_id) AS INTEGER) AS found, CASE WHEN count(ref_id) = 5 THEN max(dist) END AS worst FROM qs LEFT JOIN top USING (qid) GROUP BY qid)"""
 

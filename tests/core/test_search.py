@@ -1,9 +1,13 @@
+import os
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from tessera.operators import evaluate, exact, index_build, index_search
-from tessera.sources import index
+from tessera.plans import catalog, views
+from tessera.sources import index, shared
 
 DIMS = 4
 VECTORS = "ref_id long, v array<smallint>, label int"
@@ -36,6 +40,7 @@ def test_exact(data, way, monkeypatch):
     rows, queries, refs, qs = data
     monkeypatch.setattr(exact, "QUERY_BYTES", 512)  # several rounds
     monkeypatch.setattr(exact, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(exact, "PAIRS", 30)
     got = {}
     for r in exact.nearest(refs, qs, DIMS, way=way).orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append((r.dist, r.ref_id, r.label))
@@ -128,3 +133,81 @@ def test_sample_is_stable(data):
     _, _, refs, _ = data
     a, b = (sorted(r.ref_id for r in index_build.sample(x, 50).collect()) for x in (refs, refs.repartition(2)))
     assert a == b and len(a) == 50
+
+
+def test_scan_meets_only_probed_clusters(spark, data, built, monkeypatch):
+    rows, queries, _, qs = data
+    _, clusters, vectors = built
+    monkeypatch.setattr(exact, "QUERY_BYTES", 4096)
+    probed = index_search.probe(qs, clusters, DIMS, 2)
+    of = {}
+    for r in probed.collect():
+        of.setdefault(r.qid, set()).add(r.cluster_id)
+    cluster = {r.ref_id: r.cluster_id for r in vectors.collect()}
+    got = {}
+    for r in index_search.scan(probed, vectors, DIMS).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.dist, r.ref_id, r.label))
+    for q, v in queries:
+        assert got.get(q, []) == brute([x for x in rows if cluster[x[0]] in of[q]], [(q, v)])[q]
+
+
+def test_many_queries_take_bounded_memory():
+    """Distances of a block of queries and references at once, whatever their number."""
+    r = np.random.default_rng(1)
+    n = 40_000
+    queries, refs = r.integers(-100, 100, (n, DIMS)).astype(float), r.integers(-100, 100, (300, DIMS)).astype(float)
+    best = exact.Best(queries, np.arange(n), 5, False)
+    tracemalloc.start()
+    best.meet(np.arange(n), refs, np.arange(300), np.zeros(300, dtype=np.int32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * exact.PAIRS * 8
+    for i in r.integers(0, n, 50):
+        d = ((refs - queries[i]) ** 2).sum(axis=1)
+        assert best.ref[i].tolist() == np.lexsort((np.arange(300), d))[:5].tolist()
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_order_of_a_split_cluster(spark, parts):
+    r = random.Random(3)
+    rows = [(i, r.randint(0, 1) * 7, float(r.randint(0, 40))) for i in range(500)] + [(1000 + i, 3, 1.0) for i in range(9)]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = index_build.cluster_order(spark.createDataFrame(rows, "ref_id long, cluster_id int, dist double")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = []
+    for c in (0, 3, 7):
+        mine = sorted((d, i) for i, k, d in rows if k == c)
+        want += [(c, i, p // 8, p % 8) for p, (_, i) in enumerate(mine)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_recall_of_the_registered_index(spark):
+    """The fast pass over the given transactions finds nine of ten of the five nearest, and its votes are right as often."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    clusters, vectors = views.tx_index(spark, sf)
+    queries = catalog._requests(spark, sf)
+    probed = index_search.probe(queries, clusters, views.FEATURES, views.TX_PROBES)
+    near = {(r.qid, r.ref_id) for r in index_search.scan(probed, vectors, views.FEATURES).collect()}
+    true = {(r.qid, r.ref_id) for r in exact.nearest(vectors, queries, views.FEATURES).collect()}
+    assert len(near & true) >= 0.9 * len(true)
+
+
+def test_no_machine_local_folder_on_a_cluster(spark):
+    class Far:
+        master = "local-cluster[2,1,1024]"
+
+        def getConf(self):
+            return {}
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()
+
+    fake = type("F", (), {"conf": type("C", (), {"get": lambda self, k, d=None: None})(), "sparkContext": Far()})()
+    with pytest.raises(ValueError, match="share"):
+        shared.shared_folder(fake)
