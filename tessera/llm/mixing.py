@@ -27,8 +27,6 @@ from tessera.llm._tables import Tables, without
 
 U64 = np.uint64
 LOG = logging.getLogger(__name__)
-#: How often targets that hang on what is left of the whole domain are set anew.
-RESCALED = 4
 
 
 @dataclass(frozen=True)
@@ -250,8 +248,8 @@ def mix(docs: DataFrame, model: Model, weights: dict[str, float], total: float |
 
     rate >= 0 (and <= `most`, if given) is how often the document should be drawn.  weights are the domains' shares
     of tokens to aim at, scaled to 1; domains that aren't named get none.  Targets are those of target_tokens().  With `whole`,
-    documents of that domain have a rate of 1 at least, as have those of domains with less than their share, and the other domains are
-    held to their shares of what these give.  Null and empty texts have no tokens and
+    documents that are likeliest of that domain have a rate of 1 at least, as have those of domains with less than their share; these count
+    as that domain with all their tokens, and the other domains' tokens in all other documents are held to their shares beside it.  Null and empty texts have no tokens and
     the rate of a document like the average.  Null ids and repeated rows each get their row; only id and
     text are read.  An empty table gives an empty result.
     """
@@ -263,10 +261,17 @@ def mix(docs: DataFrame, model: Model, weights: dict[str, float], total: float |
     aim = np.array([weights.get(name, 0.0) for name in model.domains])
     at = model.domains.index(whole) if whole in model.domains and total is None else None
     at = None if at is None or not size[at] * aim[at] else at
-    target = target_tokens(size, aim, total, at)
-    free = target < size if at is not None else np.ones(d, dtype=bool)  # the others aren't thinned
-    kept = [F.lit(name) for name, x in zip(model.domains, free, strict=True) if not x]
-    marked = posterior.withColumn("domain", likeliest).withColumn("least", F.col("domain").isin(*kept).cast("double") if kept else F.lit(0.0))
+    target, free = target_tokens(size, aim, total, at), np.ones(d, dtype=bool)
+    marked = posterior.withColumn("domain", likeliest).withColumn("least", F.lit(0.0))
+    if at is not None:  # documents of this domain and of scarce ones aren't thinned, and count as what they likeliest are
+        free = target < size
+        kept = F.col("domain").isin(*[F.lit(name) for name, x in zip(model.domains, free, strict=True) if not x])
+        marked = marked.withColumn("least", kept.cast("double")).withColumns({f"q{i}": F.when(kept, (F.col("domain") == name).cast("double")).otherwise(F.col(f"p{i}")) for i, name in enumerate(model.domains)})
+        own = F.sum(F.when(F.col("domain") == whole, n))
+        *size, of_whole = (x or 0.0 for x in marked.agg(*[F.sum(n * F.col(f"q{i}")) for i in range(d)], own).first())
+        size = np.array(size)
+        target = np.where(free, np.minimum(aim / aim[at] * of_whole, size), size)
+        marked = marked.withColumns({f"p{i}": F.col(f"q{i}") for i in range(d)} | {f"soft{i}": F.col(f"p{i}") for i in range(d)})
 
     def sums(steps: list[list[float]]) -> np.ndarray:
         rated = marked.select(*[f"p{i}" for i in range(d)], (_rate(steps, most) * n).alias("t"))
@@ -292,22 +297,15 @@ def mix(docs: DataFrame, model: Model, weights: dict[str, float], total: float |
         area, now, hessian = moments(step)
         return area, held(now), hessian * np.outer(free, free)
 
-    tolerance, steps, now, best = model.settings.tolerance, [], size, True
-    for _ in range(RESCALED if at is not None else 1):
-        if at is not None:  # what thinned documents have of the whole domain is gone with them
-            target = np.where(free, target_tokens(np.where(np.arange(d) == at, now, size), aim, None, at), now)
-        if not size.sum() or met(held(now), target, tolerance):
-            break
-        steps, _ = projected_gradient(lambda s: held(sums(s)), size, target, model.settings.rounds, tolerance, (steps, held(now)))
-        now = sums(steps) if steps else size
-        if not met(held(now), target, tolerance):
-            step, _, best = nearest_step(held_moments, size, target, np.where(free, np.sum(steps, axis=0) if steps else 0.0, 0.0), tolerance)
-            steps = [step]
-            now = sums(steps)
-    if size.sum() and not met(held(now), target, 10 * tolerance):
-        LOG.warning("targets are missed: %s", "rates come no nearer" if best else "rates didn't settle")
+    tolerance = model.settings.tolerance
+    steps, now = projected_gradient(lambda s: held(sums(s)), size, target, model.settings.rounds, tolerance, ([], held(size))) if size.sum() else ([], size)
+    if size.sum() and not met(now, target, tolerance):
+        step, now, best = nearest_step(held_moments, size, target, np.where(free, np.sum(steps, axis=0) if steps else 0.0, 0.0), tolerance)
+        steps = [step]
+        if not met(now, target, tolerance):
+            LOG.warning("targets are missed: %s", "rates come no nearer" if best else "rates didn't settle")
     LOG.info("expected tokens and targets: %s", {name: (float(a), float(b)) for name, a, b in zip(model.domains, now, target, strict=True)})
-    return marked.select("doc_id", "n_tokens", "domain", *[F.col(f"p{i}").alias(f"p_{name}") for i, name in enumerate(model.domains)], _rate(steps, most).alias("rate"))
+    return marked.select("doc_id", "n_tokens", "domain", *[F.col(f"soft{i}" if at is not None else f"p{i}").alias(f"p_{name}") for i, name in enumerate(model.domains)], _rate(steps, most).alias("rate"))
 
 
 def drawn(docs: DataFrame, model: Model, weights: dict[str, float], total: float | None = None, most: float | None = None, whole: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
