@@ -77,21 +77,24 @@ def position_probabilities(p: Weights, x: np.ndarray, sizes: np.ndarray) -> np.n
     span, _, n = x.shape
     h = p["u"].shape[1]
     gate_of, new_of = _tables(p)
+    gate_of = gate_of * np.float32(0.5)  # a gate is (1 + tanh(half its sum)) / 2
     rows = x.astype(np.intp)
     rows[:, 1] += 256
-    u_gate, u_new = np.ascontiguousarray(p["u"][:, :, : 2 * h]), np.ascontiguousarray(p["u"][:, :, 2 * h :])
+    u_gate, u_new = p["u"][:, :, : 2 * h] * np.float32(0.5), np.ascontiguousarray(p["u"][:, :, 2 * h :])
     state = np.zeros((2, n, h), dtype=np.float32)
     logits = np.empty((span, 2, n, p["out"].shape[2]), dtype=np.float32)
     gate, new = np.empty((2, n, 2 * h), dtype=np.float32), np.empty((2, n, h), dtype=np.float32)
+    own_gate, own_new = np.empty_like(gate), np.empty_like(new)
     for t in range(span):
         np.take(gate_of, rows[t], axis=0, out=gate, mode="clip")
-        gate += state @ u_gate
-        gate *= 0.5
+        gate += np.matmul(state, u_gate, out=own_gate)
         np.tanh(gate, out=gate)
         gate += 1
         gate *= 0.5
         np.take(new_of, rows[t], axis=0, out=new, mode="clip")
-        new += gate[:, :, h:] * (state @ u_new)
+        np.matmul(state, u_new, out=own_new)
+        own_new *= gate[:, :, h:]
+        new += own_new
         np.tanh(new, out=new)
         state -= new
         state *= gate[:, :, :h]
@@ -107,14 +110,18 @@ def _mirror(span: int, sizes: np.ndarray) -> np.ndarray:
 
 
 def _joined(logits: np.ndarray, sizes: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    back = np.take_along_axis(logits[:, 1], _mirror(len(logits), sizes)[:, :, None], axis=0)
-    return logits[:, 0] + back + bias
+    span, _, n, classes = logits.shape
+    back = np.take(logits[:, 1].reshape(-1, classes), _mirror(span, sizes) * n + np.arange(n), axis=0)
+    back += logits[:, 0]
+    back += bias
+    return back
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
+    x = np.ascontiguousarray(np.moveaxis(x, -1, 0))  # few classes: first, so that inner loops are long
+    x = np.exp(x - x.max(axis=0))
+    x /= x.sum(axis=0)
+    return np.moveaxis(x, 0, -1)
 
 
 def loss_and_gradients(p: Weights, x: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> tuple[float, Weights]:
@@ -202,18 +209,18 @@ def document_probabilities(p: Weights, block: T.Block, s: Settings) -> np.ndarra
     starts = offsets[doc] + rank * s.span
     ends = np.minimum(starts + s.span, offsets[doc + 1])
     low, high = np.maximum(starts - s.around, offsets[doc]), np.minimum(ends + s.around, offsets[doc + 1])
-    width = s.span + 2 * s.around
     letters = T.LETTERS[data]
     total = np.zeros((len(n), classes))
+    by_size = np.argsort(high - low, kind="stable")  # windows of like sizes go together, as all take as many steps as the longest
     for lo in range(0, len(doc), s.lanes):
-        part = slice(lo, lo + s.lanes)
+        part = by_size[lo : lo + s.lanes]
         a, b = low[part], high[part] - low[part]
+        width = int(b[-1])
         probability = position_probabilities(p, both_ways(data, a, b, width), b)
         at = a + np.minimum(np.arange(width)[:, None], b - 1)
         held = (np.arange(width)[:, None] < b) & (at >= starts[part]) & (at < ends[part]) & letters[at]
-        sums = np.einsum("tnc,tn->nc", probability, held.astype(np.float32))
         for c in range(classes):
-            total[:, c] += np.bincount(doc[part], sums[:, c], minlength=len(n))
+            total[:, c] += np.bincount(doc[part], np.where(held, probability[:, :, c], np.float32(0)).sum(axis=0), minlength=len(n))
     seen = T.per_document(letters, offsets)
     return total / np.maximum(seen, 1)[:, None]
 
@@ -299,16 +306,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(lambda batches: _predict(batches, model), "doc_id long, lang_pred string, score double")
 
 
-def _accept(batches: Iterator[pa.RecordBatch], model: Model, least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        (found,) = _predict(iter([batch.select(["text"])]), model)
-        known = np.asarray(found.column("lang_pred").to_numpy(zero_copy_only=False) != UNKNOWN, dtype=bool)
-        yield batch.filter(pa.array(known & (found.column("score").to_numpy() >= least)))
-
-
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """Rows of `docs`, all columns, whose text has a language with a probability of at least `least`.  A text alone
     decides: repeated rows go or stay together, null texts and those without a letter go, rows with a null id are like others.
     Columns may have any names.  An empty table gives an empty one."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _accept(batches, model, least), rows.schema).select("row.*")
+
+    @F.arrow_udf("boolean")
+    def likely(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            (found,) = _predict(iter([pa.RecordBatch.from_arrays([text], names=["text"])]), model)
+            known = np.asarray(found.column("lang_pred").to_numpy(zero_copy_only=False) != UNKNOWN, dtype=bool)
+            yield pa.array(known & (found.column("score").to_numpy() >= least))
+
+    return docs.where(likely(F.col(text_col).cast("string")))  # only texts go to Python, and one bit a row comes back
