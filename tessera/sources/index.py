@@ -1,6 +1,6 @@
 """The index as Parquet tables: `index_meta`, `centroids` and `vectors` by cluster.
 
-Vectors are dealt by cluster and sorted inside by distance to the centroid, so a cluster's rows stand
+Vectors are dealt by cluster and sorted inside by cell (near ones stand together) and distance to the centroid, so a cluster's rows stand
 together and a scan of few clusters skips the other row groups by their statistics.  Few clusters may be
 folders of their own as well (`partition=True`); thousands would make too many small files.
 """
@@ -10,14 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.cells import with_cell
+
 VERSION = 1
 
 
 def write_index(path: str, clusters: DataFrame, assigned: DataFrame, dims: int, partition: bool = False, partitions: int | None = None) -> None:
     """SNK-1.  clusters as index_build.cluster_table() makes them; assigned with ref_id, v, label, cluster_id, dist."""
     spark = clusters.sparkSession
-    # a hot cluster is split: rows are dealt by range of cluster and distance
-    by = ["cluster_id", "dist", "ref_id"]
+    # a hot cluster is split: rows are dealt by range of cluster, cell and distance
+    by = ["cluster_id", "cell", "dist", "ref_id"]
+    assigned = with_cell(assigned, dims)
     dealt = assigned.repartitionByRange(partitions, *by) if partitions else assigned.repartitionByRange(*by)
     writer = dealt.sortWithinPartitions(*by).select("ref_id", "v", "label", "cluster_id").write.mode("overwrite")
     (writer.partitionBy("cluster_id") if partition else writer).parquet(f"{path}/vectors")

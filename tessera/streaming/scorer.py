@@ -20,12 +20,12 @@ REQUEST = "conn_id long, seq long, body string"
 MOST_BODY = 8192
 
 
-def score(requests: DataFrame, refs: DataFrame, decide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def score(requests: DataFrame, refs: DataFrame | Callable[[], DataFrame], decide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(conn_id, seq, parse_ok, fraud_count, approved, fraud_score, response) of requests (conn_id, seq, body), a row for each row.
 
     What can't be parsed counts 0 and is approved (STR-9); too long a body has no row (STR-8).  `decide`
     gives (qid, fraud_count) of queries (qid, v); by default the exact neighbours among refs vote.  Requests with the same
-    vector, repeated ones among them, are one query.
+    vector, repeated ones among them, are one query.  Refs may be given as a function, which is called only if there is a query.
     """
     scratch, spark = Scratch.of(requests.sparkSession), requests.sparkSession
 
@@ -38,13 +38,16 @@ def score(requests: DataFrame, refs: DataFrame, decide: Callable[[DataFrame], Da
     found = with_vector(parsed, "conn_id", "seq", "parse_ok")
     found = written(found.withColumn("v", F.when(F.col("parse_ok"), F.col("v"))))
     queries = written(found.where("parse_ok").select("v").distinct().withColumn("qid", F.monotonically_increasing_id()))
-    voted = (decide or (lambda q: vote(nearest(refs, q, DIMS), q)))(queries.select("qid", "v")).select("qid", "fraud_count")
+    if queries.isEmpty():  # nothing asks the references
+        voted = spark.createDataFrame([], "qid long, fraud_count int")
+    else:
+        voted = (decide or (lambda q: vote(nearest(refs() if callable(refs) else refs, q, DIMS), q)))(queries.select("qid", "v")).select("qid", "fraud_count")
     scored = found.join(queries.join(voted, "qid").select("v", "fraud_count"), "v", "left").withColumn("fraud_count", F.coalesce("fraud_count", F.lit(0)))
     count = F.col("fraud_count")
     return scored.select("conn_id", "seq", "parse_ok", "fraud_count", approved(count).alias("approved"), fraud_score(count).alias("fraud_score"), score_body(count).alias("response"))
 
 
-def serve(connections: DataFrame, raw: str, refs: DataFrame, decide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def serve(connections: DataFrame, raw: str, refs: DataFrame | Callable[[], DataFrame], decide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(conn_id, seq, kind, response): whole responses to every whole request in the buffers of connections (conn_id and `raw`), in the
     order of `seq`; a body that is too long or can't be parsed counts 0."""
     framed = http.frame(connections, raw, "conn_id")

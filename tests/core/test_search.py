@@ -3,9 +3,10 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.operators import evaluate, exact, index_build, index_search
+from tessera.operators import cells, evaluate, exact, index_build, index_search
 from tessera.plans import catalog, views
 from tessera.sources import index, shared
 
@@ -211,3 +212,42 @@ def test_no_machine_local_folder_on_a_cluster(spark):
     fake = type("F", (), {"conf": type("C", (), {"get": lambda self, k, d=None: None})(), "sparkContext": Far()})()
     with pytest.raises(ValueError, match="share"):
         shared.shared_folder(fake)
+
+
+def test_queries_meet_few_references(monkeypatch):
+    """Only boxes nearer than the k nearest so far are compared, and the nearest are the same."""
+    r = np.random.default_rng(2)
+    refs, queries = r.integers(-10000, 10000, (20_000, 3)).astype(np.int16), r.integers(-10000, 10000, (200, 3)).astype(np.int16)
+    near = cells.Cells(refs[::10].astype(float), 5)
+    refs = refs[np.argsort(near.of(refs), kind="stable")]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(refs))), pa.array(list(refs), pa.list_(pa.int16())), pa.array(np.zeros(len(refs), dtype=np.int32))], names=["ref_id", "v", "label"])
+    query, cell = exact.asked(pa.table({"qid": np.arange(len(queries)), "qv": pa.array(list(queries), pa.list_(pa.int16()))}), 3, near)
+    pairs = []
+    meet = exact.Best.meet
+    monkeypatch.setattr(exact.Best, "meet", lambda self, who, v, *more: (pairs.append(len(who) * len(v)), meet(self, who, v, *more)))
+    seeds = next(exact._seeds(query, cell, near, iter([batch]), 5, False)).to_pandas()
+    query.limit = seeds.groupby("qid")["dist"].max().to_numpy().astype(float)
+    got = next(exact._best(query, iter([batch]), 5, False)).to_pandas()
+    assert sum(pairs) < len(refs) * len(queries) / 5
+    for i, q in enumerate(queries.astype(np.int64)):
+        d = ((refs - q) ** 2).sum(axis=1)
+        want = np.lexsort((np.arange(len(refs)), d))[:5]
+        mine = got[got.qid == i].sort_values(["dist", "ref_id"])[:5]
+        assert mine.ref_id.tolist() == want.tolist() and mine.dist.tolist() == d[want].tolist()
+
+
+@pytest.mark.parametrize("probes", [1, 3])
+def test_cells_change_no_answer(data, built, probes, monkeypatch):
+    """With a first pass over cells, in several rounds, answers are those of one cell."""
+    rows, queries, refs, qs = data
+    _, clusters, vectors = built
+    search = lambda **more: sorted(map(tuple, index_search.search(qs, clusters, vectors, DIMS, probes, **more).collect()))
+    ways = ({"repair": False}, {}, {"low": 0, "high": 5})
+    want = [search(**w) for w in ways]
+    monkeypatch.setattr(cells, "CELL_ROWS", 20)
+    monkeypatch.setattr(exact, "QUERY_BYTES", 1024)
+    assert [search(**w) for w in ways] == want
+    got = {}
+    for r in exact.nearest(refs, qs, DIMS).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.dist, r.ref_id, r.label))
+    assert got == brute(rows, queries)

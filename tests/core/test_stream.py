@@ -33,3 +33,11 @@ def test_serve_answers_every_request_in_order(spark):
     got = scorer.serve(spark.createDataFrame([(7, raw), (8, "PUT / HTTP/1.1\r\n\r\n" + post(P1)), (9, "")], "conn_id long, raw string"), "raw", refs).orderBy("conn_id", "seq").collect()
     assert [(r.conn_id, r.seq, r.kind) for r in got] == [(7, 0, "score"), (7, 1, "ready"), (7, 2, "score"), (7, 3, "score"), (8, 0, "bad")]
     assert got[0].response == got[3].response and got[0].response.endswith('{"approved": true, "fraud_score": 0.00}') and got[2].response.endswith('{"approved": false, "fraud_score": 0.80}') and got[4].response.startswith("HTTP/1.1 400")
+
+
+def test_references_are_not_made_without_a_query(spark):
+    def refs():
+        raise AssertionError("nothing asks")
+
+    got = scorer.score(spark.createDataFrame([(1, 1, "{bad"), (1, 2, "")], scorer.REQUEST), refs).collect()
+    assert sorted((r.seq, r.parse_ok, r.fraud_count, r.approved) for r in got) == [(1, False, 0, True), (2, False, 0, True)]
