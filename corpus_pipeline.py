@@ -28,7 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    """One document of each group of near-duplicates stays, the one with the smallest id: what SimHash, or bands where its bits
+    don't reach, brings together is compared as whole sets."""
     return near_copies.first_of_each(docs, NEAR_WORDS, NEAR_LEAST)
 
 

@@ -1,6 +1,7 @@
 """Near copies by the Jaccard similarity of their sets of shingles.
 
-Minima of the hashed shingles, in bands, bring together documents that are alike; what shares a
+SimHash (simhash.py) brings together documents whose fingerprints differ in few bits; as a similarity of 0.8 is some 10 of 64 bits, minima of
+the hashed shingles, in bands, bring together those it can't see.  What shares a SimHash group or a
 band is verified on the whole sets, so every link is exact.  Two documents of similarity s share
 none of the bands with a chance of (1 - s^ROWS)^BANDS: 3 in 100,000 at 0.8, less above.  Equal sets
 collapse first, bands with the same members count once, only texts in shared bands are read again, and a
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from tessera.llm import _text as T
 from tessera.llm._tables import Tables, without
 from tessera.llm.components import components, local_forest
-from tessera.llm.simhash import _shingles
+from tessera.llm.simhash import _shingles, fingerprints, grouped
 
 U64 = np.uint64
 BANDS, ROWS = 20, 4
+#: Bits in which SimHash fingerprints may differ.
+DISTANCE = 3
 _SALTS = T.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U64))
 
 
@@ -142,8 +145,8 @@ def _links(words: int, least: tuple[int, int]) -> Callable[[Iterator[pa.RecordBa
 
 
 def first_of_each(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of `docs`, all columns, with one document of each group, the one with the smallest id.  Groups are joined by links
-    of a Jaccard similarity of at least least[0] / least[1] between the sets of shingles of `words` words, lower-cased
+    """Rows of `docs`, all columns, with one document of each group, the one with the smallest id.  Groups are joined by links,
+    found by SimHash and by bands, of a Jaccard similarity of at least least[0] / least[1] between the sets of shingles of `words` words, lower-cased
     (A-Z); a shorter text has one shingle of them all, texts without words are alike.  Rows with a null id
     all stay and link nothing; equal rows of a document that stays all stay.  Columns may have any names.  An empty table gives an empty one."""
     tables = Tables(docs.sparkSession, "near_copies")
@@ -151,6 +154,10 @@ def first_of_each(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4,
     marked = tables.written(rows.mapInArrow(_mark(words), "doc_id long, fp long, keys array<long>"))
     kinds = tables.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys")))
     banded = kinds.select("fp", "least", F.posexplode("keys").alias("band", "key")).select("fp", "least", F.xxhash64("band", "key").alias("bucket"))
+    # SimHash groups, by the text that stands for a kind; another text under its id only makes a bucket larger
+    alike = grouped(tables.written(fingerprints(rows, words)), DISTANCE, tables).select("doc_id", "component_id").distinct()
+    near = kinds.where(F.size("keys") > 0).join(alike, F.col("least") == F.col("doc_id")).select("fp", "least", F.xxhash64(F.lit(BANDS), "component_id").alias("bucket"))
+    banded = banded.unionByName(near).distinct()
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
     once = shared.groupBy("n", "x", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = tables.written(banded.join(once, "bucket"))

@@ -56,3 +56,27 @@ def test_the_pipeline_links_them(spark):
         rows.append((100 + i, " ".join(text)))
     got = {x.doc_id for x in P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert got == brute_kept(rows) and len(got) < 60
+
+
+def test_simhash_finds_near_copies_that_share_no_band(spark, monkeypatch):
+    import random
+
+    from tessera.llm import near_copies, simhash
+
+    def none(h, first):
+        import numpy as np
+
+        return np.random.default_rng(h[:4].tolist()).integers(0, 1 << 62, (len(first) - 1, 20)).astype(np.uint64)
+
+    monkeypatch.setattr(near_copies, "bands", none)
+    r = random.Random(5)
+    rows = []
+    for i in range(0, 40, 2):
+        words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        other = list(words)
+        other[r.randrange(400)] = "changed"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = {x.doc_id for x in simhash.near_duplicates(docs, 5, 3).collect() if x.doc_id != x.component_id}
+    left = {x.doc_id for x in near_copies.first_of_each(docs, 5, (4, 5)).collect()}
+    assert len(linked) > 10 and left == set(range(40)) - linked
