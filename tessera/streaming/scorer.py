@@ -50,7 +50,11 @@ def score(requests: DataFrame, refs: DataFrame | Callable[[], DataFrame], decide
 def serve(connections: DataFrame, raw: str, refs: DataFrame | Callable[[], DataFrame], decide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(conn_id, seq, kind, response): whole responses to every whole request in the buffers of connections (conn_id and `raw`), in the
     order of `seq`; a body that is too long or can't be parsed counts 0."""
-    framed = http.frame(connections, raw, "conn_id")
+    spark = connections.sparkSession
+    path = Scratch.of(spark).folder("framed")
+    # buffers are dear to cut and may come in one piece: dealt to all cores, cut once
+    http.frame(connections.repartition(spark.sparkContext.defaultParallelism, "conn_id"), raw, "conn_id").write.parquet(path)
+    framed = spark.read.parquet(path)
     scored = score(framed.where("kind = 'score'").select("conn_id", "seq", "body"), refs, decide).select("conn_id", "seq", F.col("response").alias("json"))
     json = F.coalesce("json", score_body(F.lit(0)))
     return framed.join(scored, ["conn_id", "seq"], "left").select("conn_id", "seq", "kind", http.response(F.col("kind"), json).alias("response"))
