@@ -53,16 +53,37 @@ def assign(refs: DataFrame, centroids: DataFrame) -> DataFrame:
     return refs.mapInArrow(lambda batches: _nearest(batches, ids, matrix), f"{schema}, cluster_id int, dist double")
 
 
-def _each(how: str, dims: int) -> Column:
-    """An aggregate of every dimension of `v`, as one array."""
-    return F.expr("array(" + ", ".join(how.format(f"get(v, {i})") for i in range(dims)) + ")")
+def _each(how: str, dims: int, of: str = "v") -> Column:
+    """An aggregate of every dimension of `of`, as one array."""
+    return F.expr("array(" + ", ".join(how.format(f"get({of}, {i})") for i in range(dims)) + ")")
 
 
 def lloyd_step(refs: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
-    """IVF-3, IVF-4: (cluster_id, centroid array<double>) after one round; a cluster without members keeps its centroid."""
-    moved = assign(refs, centroids).groupBy("cluster_id").agg(_each("avg(cast({} as double))", dims).alias("mean"))
+    """IVF-3, IVF-4: (cluster_id, centroid array<double>) after one round; a cluster without members keeps its centroid.  Tasks add up their
+    own members, so a row for each task and cluster is all that leaves them."""
+    ids, matrix = _matrix(centroids)
+    sums = refs.select("v").mapInArrow(lambda batches: _sums(batches, ids, matrix), "cluster_id int, n long, total array<long>")
+    moved = sums.groupBy("cluster_id").agg(F.sum("n").alias("n"), _each("sum({})", dims, "total").alias("total"))
+    mean = F.transform("total", lambda x: x.cast("double") / F.col("n"))
     old = centroids.select("cluster_id", F.transform("centroid", lambda x: x.cast("double")).alias("old"))
-    return old.join(moved, "cluster_id", "left").select("cluster_id", F.coalesce("mean", "old").alias("centroid"))
+    return old.join(moved.select("cluster_id", mean.alias("mean")), "cluster_id", "left").select("cluster_id", F.coalesce("mean", "old").alias("centroid"))
+
+
+def _sums(batches: Iterator[pa.RecordBatch], ids: np.ndarray, centroids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Numbers and sums of the members of each centroid, of whole numbers."""
+    n, total = np.zeros(len(ids), dtype=np.int64), np.zeros(centroids.shape, dtype=np.int64)
+    for batch in batches:
+        for mine in _nearest(iter([batch]), ids, centroids):
+            at = np.searchsorted(ids, mine.column("cluster_id").to_numpy())  # ids are in order
+            v = mine.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(at), -1)
+            order = np.argsort(at, kind="stable")
+            kinds, first = np.unique(at[order], return_index=True)
+            if len(kinds):
+                total[kinds] += np.add.reduceat(v[order], first, axis=0)
+            n += np.bincount(at, minlength=len(ids))
+    filled = np.flatnonzero(n)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(filled) + 1, dtype=np.int32) * total.shape[1]), pa.array(total[filled].ravel()))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[filled].astype(np.int32)), pa.array(n[filled]), lists], names=["cluster_id", "n", "total"])
 
 
 def train(refs: DataFrame, dims: int, clusters: int = CLUSTERS, rows: int = SAMPLE, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
@@ -114,12 +135,30 @@ def block_offsets(counted: DataFrame, lanes: int = LANES) -> DataFrame:
 
 
 def boxes(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
-    """IVF-12: (cluster_id, bbox_min, bbox_max); an empty cluster's box is 0."""
-    found = assigned.groupBy("cluster_id").agg(_each("min({})", dims).alias("lo"), _each("max({})", dims).alias("hi"))
+    """IVF-12: (cluster_id, bbox_min, bbox_max); an empty cluster's box is 0.  A row for each task and cluster leaves the tasks."""
+    ends = assigned.select("cluster_id", "v").mapInArrow(_ends, "cluster_id int, low array<smallint>, high array<smallint>")
+    found = ends.groupBy("cluster_id").agg(_each("min({})", dims, "low").alias("lo"), _each("max({})", dims, "high").alias("hi"))
     zero = F.array_repeat(F.lit(0).cast("smallint"), dims)
     return centroids.select("cluster_id").join(found, "cluster_id", "left").select("cluster_id", F.coalesce("lo", zero).alias("bbox_min"), F.coalesce("hi", zero).alias("bbox_max"))
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least and greatest of every dimension of each cluster's members."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cluster, v = batch.column("cluster_id").to_numpy(), batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        order = np.argsort(cluster, kind="stable")
+        kinds, first = np.unique(cluster[order], return_index=True)
+        for kind, low, high in zip(kinds.tolist(), np.minimum.reduceat(v[order], first, axis=0), np.maximum.reduceat(v[order], first, axis=0), strict=True):
+            before = held.get(kind, (low, high))
+            held[kind] = np.minimum(before[0], low), np.maximum(before[1], high)
+    if held:
+        lists = [pa.array([x[i].tolist() for x in held.values()], type=pa.list_(pa.int16())) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), type=pa.int32()), *lists], names=["cluster_id", "low", "high"])
+
+
 def cluster_order(assigned: DataFrame, lanes: int = LANES) -> DataFrame:
     """IVF-9, IVF-10, IVF-13: block and lane of each vector in its cluster, the nearest to the centroid first.  Vectors are dealt by range of
     cluster and distance, so a hot cluster is split; places are counted in each range and go on from the ranges before."""

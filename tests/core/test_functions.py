@@ -198,3 +198,22 @@ def test_responses(spark):
         head, _, body = text.partition("\r\n\r\n")
         assert f"Content-Length: {len(body.encode())}" in head
     assert got[0].startswith("HTTP/1.1 200 OK\r\n") and got[0].endswith('{"é":1}') and got[1].endswith("OK") and got[2].startswith("HTTP/1.1 400") and "close" in got[2]
+
+
+def test_features_of_all_rows_are_cheap_and_the_same(spark):
+    """By blocks and by expressions, nulls and odd numbers included; neither rounds by way of decimal texts."""
+    times = "CASE WHEN id % 5 = 0 THEN NULL ELSE timestamp_seconds(id * 7919) END"
+    odd = lambda i: f"CASE id % 11 WHEN {i} THEN NULL WHEN {i + 1} THEN double('NaN') WHEN {i + 2} THEN double('-Infinity') WHEN {i + 3} THEN double('Infinity') WHEN {i + 4} THEN -0.25 ELSE id * 1.7 END"
+    tx = spark.range(400).selectExpr(
+        "id", f"{odd(0)} AS amount", "CASE WHEN id % 4 = 0 THEN NULL ELSE int(id % 15) END AS installments", f"{times} AS requested_at", f"{odd(3)} AS avg_amount", f"{odd(5)} AS tx_count_24h",
+        "CASE WHEN id % 6 > 0 THEN array('a', 'b') END AS known_merchants", "CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'x' END AS merchant_id", "CASE WHEN id % 2 = 0 THEN '7995' END AS mcc", f"{odd(6)} AS merchant_avg",
+        "CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_online", "CASE id % 7 WHEN 0 THEN true WHEN 1 THEN false END AS card_present", f"{odd(2)} AS km_from_home",
+        "CASE WHEN id % 3 > 0 THEN timestamp_seconds(id * 7000) END AS last_at", f"{odd(1)} AS last_km",
+    )
+    wanted, got = tx.select("id", F.array(*X.feature_columns(tx)).alias("v")), X.with_vector(tx, "id")
+    assert wanted.orderBy("id").collect() == got.orderBy("id").collect()
+    halves = [k / 20000 for k in range(-20001, 20002, 7)] + [None, float("nan"), 0.49999999999999994 / 10000]
+    rows = spark.createDataFrame([(x,) for x in halves], "x double")
+    plain = F.round(F.greatest(F.lit(-1e4), F.least(F.lit(1e4), F.nanvl("x", F.lit(0.0)) * 1e4))).cast("smallint")
+    assert all(r.a == r.b for r in rows.select(plain.alias("a"), V.quantize(F.col("x")).alias("b")).collect())
+    assert " round(" not in rows.select(V.quantize(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
