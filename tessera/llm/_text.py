@@ -8,7 +8,8 @@ does not follow the size of Arrow's batches; a document is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,3 +170,16 @@ def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     total = np.zeros(len(values) + 1, dtype=np.int64)
     np.cumsum(values, out=total[1:])
     return total[ends] - total[starts]
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` as a task that gives back what its allocators hold when it ends: workers wait for their next task while others need the memory."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return task

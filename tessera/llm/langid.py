@@ -303,7 +303,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     each get their row; only id and text are read.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _predict(batches, model), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(T.released(lambda batches: _predict(batches, model)), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:

@@ -151,7 +151,7 @@ def first_of_each(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4,
     all stay and link nothing; equal rows of a document that stays all stay.  Columns may have any names.  An empty table gives an empty one."""
     tables = Tables(docs.sparkSession, "near_copies")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    marked = tables.written(rows.mapInArrow(_mark(words), "doc_id long, fp long, keys array<long>"))
+    marked = tables.written(rows.mapInArrow(T.released(_mark(words)), "doc_id long, fp long, keys array<long>"))
     kinds = tables.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys")))
     banded = kinds.select("fp", "least", F.posexplode("keys").alias("band", "key")).select("fp", "least", F.xxhash64("band", "key").alias("bucket"))
     # SimHash groups, by the text that stands for a kind; another text under its id only makes a bucket larger
@@ -162,7 +162,7 @@ def first_of_each(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4,
     once = shared.groupBy("n", "x", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = tables.written(banded.join(once, "bucket"))
     texts = members.join(rows, F.col("least") == F.col("doc_id")).select("bucket", "fp", "text")
-    links = texts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(words, least), "a long, b long")
+    links = texts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(T.released(_links(words, least)), "a long, b long")
     roots = tables.written(components(links, tables, shrunk=True))
     placed = kinds.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -125,7 +125,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Rec
 
 def suffixes(docs: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, place, after, before, seed, context) of every retained suffix, the minimiser of the windows that begin `after` to `before` words before it; rows without an id share nothing and are left out."""
-    return _rows(docs, id_col, text_col).mapInArrow(lambda batches: _suffixes(batches, s), "doc_id long, digest long, place int, after int, before int, seed long, context long")
+    return _rows(docs, id_col, text_col).mapInArrow(T.released(lambda batches: _suffixes(batches, s)), "doc_id long, digest long, place int, after int, before int, seed long, context long")
 
 
 def _padded(words: np.ndarray, start: np.ndarray, step: int, count: np.ndarray, width: int) -> pa.Array:
@@ -267,9 +267,9 @@ def shared_windows(docs: DataFrame, settings: Settings = Settings(), id_col: str
     mixed = groups.join(several, "seed")
     wanted = mixed.groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.digest").alias("digest")).agg(F.collect_list(F.struct(F.col("one.place").alias("place"), "after", "before", "seed", "context", "shared", "large")).alias("places"))
     lookup = _rows(docs, id_col, text_col).join(wanted, ["doc_id", "digest"]).select("doc_id", "digest", "text", "places")
-    ends = tables.written(lookup.mapInArrow(lambda batches: _contexts(batches, s), "seed long, context long, doc_id long, digest long, place int, after int, before int, shared boolean, large boolean, right binary, left binary"))
+    ends = tables.written(lookup.mapInArrow(T.released(lambda batches: _contexts(batches, s)), "seed long, context long, doc_id long, digest long, place int, after int, before int, shared boolean, large boolean, right binary, left binary"))
     cut = ["seed", *[F.when(F.col("large"), F.col(c)) for c in ("right", "left")]]
-    matched = tables.written(ends.repartitionByRange(ends.count() // SLICE_ROWS + 1, *cut).sortWithinPartitions("seed", "right", "left", "context").mapInArrow(lambda batches: _slices(batches, s), _MATCHED))
+    matched = tables.written(ends.repartitionByRange(ends.count() // SLICE_ROWS + 1, *cut).sortWithinPartitions("seed", "right", "left", "context").mapInArrow(T.released(lambda batches: _slices(batches, s)), _MATCHED))
     low = ["low_doc", "low_digest", "low_place"]
     across = matched.where("key is not null")
     keys = tables.written(across.groupBy("key").agg(F.min(F.struct("doc_id", "digest", "place")).alias("low"), F.count(F.lit(1)).alias("n"), F.max("shared").alias("shared")).where("n > 1 or shared"))

@@ -145,3 +145,15 @@ def test_passages(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert S.repeated_passages(df).count() == 0 and S.without_repeats(df).count() == 0
+
+
+def test_a_task_gives_its_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import _text
+
+    given = []
+    monkeypatch.setattr(_text.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: given.append(1)})())
+    batch = pa.record_batch({"x": [1, 2]})
+    assert list(_text.released(lambda batches: (b for b in batches))(iter([batch]))) == [batch]
+    assert given == [1]
