@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from tessera.sources.shared import Scratch
 CLUSTERS, SAMPLE, ROUNDS, LANES, SEED = 4096, 50_000, 50, 8, 42
 #: Most centroids that are held in every task.
 MOST_CLUSTERS = 65_536
+#: Distances to centroids that a task holds at once.
+HELD = 1 << 18
 
 
 def sample(refs: DataFrame, rows: int = SAMPLE, seed: int = SEED) -> DataFrame:
@@ -31,16 +33,22 @@ def _matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.cluster_id for r in rows], dtype=np.int64), np.array([r.centroid for r in rows], dtype=np.float64)
 
 
+def _closest(v: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the nearest centroids, the first of equals, and squared distances to them."""
+    # the square of a vector is the same for all centroids: it is added to the least
+    left, right = np.concatenate([v, np.ones((len(v), 1))], axis=1), np.concatenate([-2 * centroids, (centroids * centroids).sum(axis=1)[:, None]], axis=1).T
+    best, dist, step = np.empty(len(v), dtype=np.int64), np.empty(len(v)), max(1, HELD // max(1, len(centroids)))
+    for lo in range(0, len(v), step):
+        d = left[lo : lo + step] @ right
+        best[lo : lo + step] = d.argmin(axis=1)
+        dist[lo : lo + step] = d[np.arange(len(d)), best[lo : lo + step]]
+    return best, dist + np.einsum("ij,ij->i", v, v)
+
+
 def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, centroids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    squares = (centroids * centroids).sum(axis=1)
     for batch in batches:
         v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-        best, dist = np.empty(len(v), dtype=np.int64), np.empty(len(v))
-        for lo in range(0, len(v), 4096):
-            part = v[lo : lo + 4096]
-            d = (part * part).sum(axis=1)[:, None] - 2 * (part @ centroids.T) + squares
-            best[lo : lo + 4096] = d.argmin(axis=1)  # the first of equals: the lowest id
-            dist[lo : lo + 4096] = d.min(axis=1)
+        best, dist = _closest(v, centroids)
         extra = [pa.array(ids[best].astype(np.int32)), pa.array(dist)]
         yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "cluster_id", "dist"])
 
@@ -73,14 +81,13 @@ def _sums(batches: Iterator[pa.RecordBatch], ids: np.ndarray, centroids: np.ndar
     """Numbers and sums of the members of each centroid, of whole numbers."""
     n, total = np.zeros(len(ids), dtype=np.int64), np.zeros(centroids.shape, dtype=np.int64)
     for batch in batches:
-        for mine in _nearest(iter([batch]), ids, centroids):
-            at = np.searchsorted(ids, mine.column("cluster_id").to_numpy())  # ids are in order
-            v = mine.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(at), -1)
-            order = np.argsort(at, kind="stable")
-            kinds, first = np.unique(at[order], return_index=True)
-            if len(kinds):
-                total[kinds] += np.add.reduceat(v[order], first, axis=0)
-            n += np.bincount(at, minlength=len(ids))
+        v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        at = _closest(v.astype(np.float64), centroids)[0].astype(np.int32)
+        order = np.argsort(at.astype(np.int16) if len(ids) < 1 << 15 else at, kind="stable")
+        kinds, first = np.unique(at[order], return_index=True)
+        if len(kinds):
+            total[kinds] += np.add.reduceat(v[order], first, axis=0, dtype=np.int64)
+        n += np.bincount(at, minlength=len(ids))
     filled = np.flatnonzero(n)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(filled) + 1, dtype=np.int32) * total.shape[1]), pa.array(total[filled].ravel()))
     yield pa.RecordBatch.from_arrays([pa.array(ids[filled].astype(np.int32)), pa.array(n[filled]), lists], names=["cluster_id", "n", "total"])
@@ -127,36 +134,55 @@ def counts(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     return centroids.select("cluster_id").join(n, "cluster_id", "left").select("cluster_id", F.coalesce("cnt", F.lit(0).cast("long")).alias("cnt"))
 
 
+def first_sampled(refs: DataFrame, rows: int, seed: int = SEED) -> DataFrame:
+    """IVF-1 of a few rows: only ids are sorted, vectors are read of those that are drawn."""
+    drawn = sample(refs.select("ref_id"), rows, seed).collect()  # bounded by `rows`
+    return sample(refs.where(F.col("ref_id").isin(sorted({r.ref_id for r in drawn}))), rows, seed)
+
+
 def block_offsets(counted: DataFrame, lanes: int = LANES) -> DataFrame:
     """IVF-8: first block of each cluster; a row for each cluster, so one window is bounded."""
-    blocks = F.ceil(F.col("cnt") / lanes).cast("long")
     before = W.orderBy("cluster_id").rowsBetween(W.unboundedPreceding, -1)
-    return counted.select("cluster_id", "cnt", F.coalesce(F.sum(blocks).over(before), F.lit(0).cast("long")).alias("block_start"))
+    return counted.select("cluster_id", "cnt", _block_start(before, lanes).alias("block_start"))
 
 
-def boxes(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
-    """IVF-12: (cluster_id, bbox_min, bbox_max); an empty cluster's box is 0.  A row for each task and cluster leaves the tasks."""
-    ends = assigned.select("cluster_id", "v").mapInArrow(_ends, "cluster_id int, low array<smallint>, high array<smallint>")
-    found = ends.groupBy("cluster_id").agg(_each("min({})", dims, "low").alias("lo"), _each("max({})", dims, "high").alias("hi"))
+def _block_start(before: WindowSpec, lanes: int = LANES) -> Column:
+    return F.coalesce(F.sum(F.ceil(F.col("cnt") / lanes).cast("long")).over(before), F.lit(0).cast("long"))
+
+
+def _members(assigned: DataFrame, dims: int) -> DataFrame:
+    """(cluster_id, n, lo, hi) of filled clusters in one pass.  A row for each task and cluster leaves the tasks."""
+    ends = assigned.select("cluster_id", "v").mapInArrow(_ends, "cluster_id int, n long, low array<smallint>, high array<smallint>")
+    return ends.groupBy("cluster_id").agg(F.sum("n").alias("n"), _each("min({})", dims, "low").alias("lo"), _each("max({})", dims, "high").alias("hi"))
+
+
+def _boxed(dims: int) -> list[Column]:
     zero = F.array_repeat(F.lit(0).cast("smallint"), dims)
-    return centroids.select("cluster_id").join(found, "cluster_id", "left").select("cluster_id", F.coalesce("lo", zero).alias("bbox_min"), F.coalesce("hi", zero).alias("bbox_max"))
+    return [F.coalesce("lo", zero).alias("bbox_min"), F.coalesce("hi", zero).alias("bbox_max")]
+
+
+def boxes(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
+    """IVF-12: (cluster_id, bbox_min, bbox_max); an empty cluster's box is 0."""
+    return centroids.select("cluster_id").join(_members(assigned, dims), "cluster_id", "left").select("cluster_id", *_boxed(dims))
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Least and greatest of every dimension of each cluster's members."""
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """Number, least and greatest of every dimension of each cluster's members."""
+    held: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
     for batch in batches:
         if not batch.num_rows:
             continue
         cluster, v = batch.column("cluster_id").to_numpy(), batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        order = np.argsort(cluster, kind="stable")
-        kinds, first = np.unique(cluster[order], return_index=True)
-        for kind, low, high in zip(kinds.tolist(), np.minimum.reduceat(v[order], first, axis=0), np.maximum.reduceat(v[order], first, axis=0), strict=True):
-            before = held.get(kind, (low, high))
-            held[kind] = np.minimum(before[0], low), np.maximum(before[1], high)
+        if (cluster[1:] < cluster[:-1]).any():
+            order = np.argsort(cluster, kind="stable")
+            cluster, v = cluster[order], v[order]
+        kinds, first, n = np.unique(cluster, return_index=True, return_counts=True)
+        for kind, rows, low, high in zip(kinds.tolist(), n.tolist(), np.minimum.reduceat(v, first, axis=0), np.maximum.reduceat(v, first, axis=0), strict=True):
+            before = held.get(kind, (0, low, high))
+            held[kind] = before[0] + rows, np.minimum(before[1], low), np.maximum(before[2], high)
     if held:
-        lists = [pa.array([x[i].tolist() for x in held.values()], type=pa.list_(pa.int16())) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), type=pa.int32()), *lists], names=["cluster_id", "low", "high"])
+        lists = [pa.array([x[i].tolist() for x in held.values()], type=pa.list_(pa.int16())) for i in (1, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), type=pa.int32()), pa.array([x[0] for x in held.values()], type=pa.int64()), *lists], names=["cluster_id", "n", "low", "high"])
 
 
 def cluster_order(assigned: DataFrame, lanes: int = LANES) -> DataFrame:
@@ -193,5 +219,7 @@ def train_ml(refs: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, se
 
 
 def cluster_table(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
-    """(cluster_id, cnt, block_start, centroid, bbox_min, bbox_max)."""
-    return block_offsets(counts(assigned, centroids)).join(centroids.select("cluster_id", "centroid"), "cluster_id").join(boxes(assigned, centroids, dims), "cluster_id")
+    """(cluster_id, cnt, block_start, centroid, bbox_min, bbox_max), in one pass over the vectors."""
+    every = centroids.select("cluster_id", "centroid").join(_members(assigned, dims), "cluster_id", "left").select("cluster_id", F.coalesce("n", F.lit(0).cast("long")).alias("cnt"), "centroid", *_boxed(dims))
+    before = W.orderBy("cluster_id").rowsBetween(W.unboundedPreceding, -1)
+    return every.select("cluster_id", "cnt", _block_start(before).alias("block_start"), "centroid", "bbox_min", "bbox_max")
