@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import round_to_smallint
 from tessera.sources.shared import Scratch
 
+#: Rows of what a table has in batches.
+Opened = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 CLUSTERS, SAMPLE, ROUNDS, LANES, SEED = 4096, 50_000, 50, 8, 42
 #: Most centroids that are held in every task.
 MOST_CLUSTERS = 65_536
@@ -53,6 +58,12 @@ def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, centroids: np.n
         yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "cluster_id", "dist"])
 
 
+def assigning(centroids: DataFrame) -> Opened:
+    """What assign() does to rows in a task."""
+    ids, matrix = _matrix(centroids)
+    return lambda batches: _nearest(batches, ids, matrix)
+
+
 def assign(refs: DataFrame, centroids: DataFrame) -> DataFrame:
     """IVF-5, IVF-6: refs with the nearest centroid's cluster_id and the squared distance to it.  The centroids, which are
     few, go to the rows: no shuffle."""
@@ -66,11 +77,11 @@ def _each(how: str, dims: int, of: str = "v") -> Column:
     return F.expr("array(" + ", ".join(how.format(f"get({of}, {i})") for i in range(dims)) + ")")
 
 
-def lloyd_step(refs: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
+def lloyd_step(refs: DataFrame, centroids: DataFrame, dims: int, opened: Opened | None = None) -> DataFrame:
     """IVF-3, IVF-4: (cluster_id, centroid array<double>) after one round; a cluster without members keeps its centroid.  Tasks add up their
-    own members, so a row for each task and cluster is all that leaves them."""
+    own members, so a row for each task and cluster is all that leaves them.  With `opened`, refs are blocks of them."""
     ids, matrix = _matrix(centroids)
-    sums = refs.select("v").mapInArrow(lambda batches: _sums(batches, ids, matrix), "cluster_id int, n long, total array<long>")
+    sums = (refs if opened else refs.select("v")).mapInArrow(lambda batches: _sums(opened(batches) if opened else batches, ids, matrix), "cluster_id int, n long, total array<long>")
     moved = sums.groupBy("cluster_id").agg(F.sum("n").alias("n"), _each("sum({})", dims, "total").alias("total"))
     mean = F.transform("total", lambda x: x.cast("double") / F.col("n"))
     old = centroids.select("cluster_id", F.transform("centroid", lambda x: x.cast("double")).alias("old"))
@@ -140,6 +151,82 @@ def first_sampled(refs: DataFrame, rows: int, seed: int = SEED) -> DataFrame:
     return sample(refs.where(F.col("ref_id").isin(sorted({r.ref_id for r in drawn}))), rows, seed)
 
 
+def block_sample(blocks: DataFrame, opened: Opened, firsts: int, most: int, seed: int = SEED) -> tuple[int, list[list[int]], pa.Table]:
+    """What the training of an index takes of blocks of vectors, in one pass: their number, first_sampled() of them, and some `most` rows (ref_id, v),
+    the same each time."""
+    n = int(blocks.select(F.coalesce(F.sum(F.length("ref_id") / 8), F.lit(0)).cast("long")).first()[0])
+    every = max(1, n // most)
+    rows = blocks.mapInArrow(lambda batches: _sampled(opened(batches), firsts, every, f"-{seed}"), "first boolean, ref_id long, v array<smallint>").toArrow()
+    first = rows.filter(rows.column("first")).select(["ref_id", "v"]).to_pylist()  # bounded by tasks and `firsts`
+    first.sort(key=lambda r: (hashlib.md5(f"{r['ref_id']}-{seed}".encode()).digest(), r["ref_id"]))
+    return n, [r["v"] for r in first[:firsts]], rows.filter(pc.invert(rows.column("first"))).select(["ref_id", "v"]).slice(0, 2 * most).combine_chunks()
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], firsts: int, every: int, end: str) -> Iterator[pa.RecordBatch]:
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        batch, ids = batch.select(["ref_id", "v"]), batch.column("ref_id").to_numpy()
+        code = md5_start(ids, end)
+        some = batch.take(pa.array(np.flatnonzero(code % np.uint64(every) == 0)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(some.num_rows, dtype=bool)), *some.columns], names=["first", "ref_id", "v"])
+        if firsts < len(code):
+            batch = batch.take(pa.array(np.flatnonzero(code <= np.partition(code, firsts - 1)[firsts - 1])))
+        held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if held.num_rows > 4 * firsts:
+            code = md5_start(held.column("ref_id").to_numpy(), end)
+            held = held.take(pa.array(np.flatnonzero(code <= np.partition(code, firsts - 1)[firsts - 1])))
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(held.num_rows, dtype=bool)), *held.columns], names=["first", "ref_id", "v"])
+
+
+_TURNS = np.repeat([(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)], 4, axis=0).ravel().tolist()
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def md5_start(ids: np.ndarray, end: str) -> np.ndarray:
+    """The first eight bytes, as a number, of the md5 of each id in decimal with `end` behind it: whole blocks at once, as a call for each id takes
+    several times as long."""
+    if len(ids) and ids.min() < 0 or len(end) > 20:
+        texts = [hashlib.md5(f"{i}{end}".encode()).digest() for i in ids.tolist()]
+        return np.array([int.from_bytes(x[:8], "big") for x in texts], dtype=np.uint64)
+    out = np.empty(len(ids), dtype=np.uint64)
+    for lo in range(0, len(ids), 8192):
+        out[lo : lo + 8192] = _md5_start(ids[lo : lo + 8192].astype(np.uint64), end.encode())
+    return out
+
+
+def _md5_start(ids: np.ndarray, end: bytes) -> np.ndarray:
+    text, size = np.zeros((len(ids), 64), dtype=np.uint8), np.ones(len(ids), dtype=np.int64)
+    digits, rest = np.empty((len(ids), 20), dtype=np.uint8), ids
+    for i in range(19, -1, -1):
+        rest, digits[:, i] = rest // np.uint64(10), rest % np.uint64(10)
+        size[rest > 0] += 1
+    for n in np.unique(size).tolist():
+        mine = size == n
+        text[mine, :n] = digits[mine, 20 - n :] + np.uint8(48)
+        text[mine, n : n + len(end)] = np.frombuffer(end, dtype=np.uint8)
+        text[mine, n + len(end)] = 128
+    words = np.ascontiguousarray(text.view("<u4").T)
+    words[14] = (size + len(end)) * 8
+    a, b, c, d = (np.full(len(ids), x, dtype=np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    for i in range(64):
+        if i < 16:
+            f, at = (b & c) | (~b & d), i
+        elif i < 32:
+            f, at = (d & b) | (~d & c), (5 * i + 1) % 16
+        elif i < 48:
+            f, at = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, at = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += np.uint32(_SINES[i])
+        f += words[at]
+        turned = (f << np.uint32(_TURNS[i])) | (f >> np.uint32(32 - _TURNS[i]))
+        a, d, c, b = d, c, b, b + turned
+    a, b = (a + np.uint32(0x67452301)).byteswap(), (b + np.uint32(0xEFCDAB89)).byteswap()
+    return (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+
+
 def block_offsets(counted: DataFrame, lanes: int = LANES) -> DataFrame:
     """IVF-8: first block of each cluster; a row for each cluster, so one window is bounded."""
     before = W.orderBy("cluster_id").rowsBetween(W.unboundedPreceding, -1)
@@ -199,11 +286,11 @@ def cluster_order(assigned: DataFrame, lanes: int = LANES) -> DataFrame:
     return placed.select("cluster_id", "ref_id", F.floor(F.col("place") / lanes).cast("int").alias("block"), (F.col("place") % lanes).cast("int").alias("lane"))
 
 
-def lloyd(refs: DataFrame, centroids: DataFrame, dims: int, rounds: int) -> DataFrame:
+def lloyd(refs: DataFrame, centroids: DataFrame, dims: int, rounds: int, opened: Opened | None = None) -> DataFrame:
     """IVF-3: some rounds over all refs from given centroids, rounded after each; they are a bounded table, so each round starts from values."""
     spark = refs.sparkSession
     for _ in range(rounds):
-        moved = rounded(lloyd_step(refs, centroids, dims))
+        moved = rounded(lloyd_step(refs, centroids, dims, opened))
         centroids = spark.createDataFrame(moved.orderBy("cluster_id").limit(MOST_CLUSTERS).collect(), "cluster_id int, centroid array<smallint>")
     return centroids
 

@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tessera.operators.cells import Cells, blocks, cells_of, drawn, flat
 
 VERSION = 1
 #: Rows of a part of the vectors, and rows that a task deals at once.
 PART_ROWS, DEALT_ROWS = 250_000, 500_000
+OPENED = "ref_id long, v array<smallint>, label int, cluster_id int"
 _BLOCKS = "part int, ref_id binary, v binary, label binary, cluster_id binary, cell binary"
 
 
@@ -90,9 +92,10 @@ def _laid(kinds: dict[str, np.dtype], dims: int) -> Callable[[Iterator[pa.Record
     return run
 
 
-def write_index(path: str, clusters: DataFrame | Callable[[DataFrame], DataFrame], assigned: DataFrame, dims: int, partition: bool = False, partitions: int | None = None, sample: tuple[int, pa.Table] | None = None) -> None:
+def write_index(path: str, clusters: DataFrame | Callable[[DataFrame], DataFrame], assigned: DataFrame, dims: int, partition: bool = False, partitions: int | None = None, sample: tuple[int, pa.Table] | None = None, opened: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> None:
     """SNK-1.  clusters as index_build.cluster_table() makes them, or a function that makes them of the written vectors; assigned with ref_id, v,
-    label, cluster_id.  `sample` has the number of vectors and some of them (ref_id, v, cluster_id); with it and a function, assigned is run once."""
+    label, cluster_id.  `sample` has the number of vectors and some of them (ref_id, v, cluster_id); with it and a function, assigned is run once.
+    With `opened` and a sample, assigned is whatever that makes such rows of in a task, with ids of 64 bits, labels of 32 and coordinates of 16."""
     spark = assigned.sparkSession
     if sample is None:
         n, rows = drawn(assigned)
@@ -101,11 +104,12 @@ def write_index(path: str, clusters: DataFrame | Callable[[DataFrame], DataFrame
     n, rows = sample
     partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // PART_ROWS)
     layout = Layout.of(n, rows.combine_chunks(), dims, partitions)
-    mine = assigned.select("ref_id", "v", "label", "cluster_id")
-    types = {f.name: f.dataType for f in mine.schema.fields}
+    mine = assigned if opened else assigned.select("ref_id", "v", "label", "cluster_id")
+    types = {f.name: f.dataType for f in (StructType.fromDDL(OPENED) if opened else mine.schema).fields}
     kinds = {c: np.dtype(to_arrow_type(types[c].elementType if c == "v" else types[c]).to_pandas_dtype()) for c in types} | {"cell": np.dtype(np.int32)}
     schema = ", ".join(f"{c} {types[c].simpleString()}" for c in types)
-    dealt = mine.mapInArrow(layout.deal, _BLOCKS).repartitionById(partitions, F.col("part")).mapInArrow(_laid(kinds, dims), schema)
+    deal = (lambda batches: layout.deal(b.select(list(types)) for b in opened(batches))) if opened else layout.deal
+    dealt = mine.mapInArrow(deal, _BLOCKS).repartitionById(partitions, F.col("part")).mapInArrow(_laid(kinds, dims), schema)
     writer = dealt.write.mode("overwrite")
     (writer.partitionBy("cluster_id") if partition else writer).parquet(f"{path}/vectors")
     (clusters(spark.read.parquet(f"{path}/vectors")) if callable(clusters) else clusters).write.mode("overwrite").parquet(f"{path}/centroids")
